@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.skew import UNIT_FLOOR, assign_shards, before, shard_cuts
+from causeway.skew import UNIT_FLOOR, carry, shard_cuts
 
 
 def busy_periods(
@@ -31,13 +31,8 @@ def busy_periods(
     ).filter("entity is not null and _id is not null and _start is not null and _end >= _start")
     place = ["_start", "_id"]
     cuts = shard_cuts(usable, "entity", place, total, floor)
-    # hot shards only: at most 2 * MAX_UNITS rows
-    reach = assign_shards(usable.join(F.broadcast(cuts.select("entity")), "entity", "left_semi"), cuts, "entity", place)
-    reach = reach.groupBy("entity", "_shard").agg(F.max("_end").alias("_reach"))
-    carried = before(reach, "entity", F.max("_reach"), "_carry")
-
     once = usable.groupBy("_id").agg(*[F.max(c).alias(c) for c in ("entity", "_start", "_end")])
-    local = assign_shards(once, cuts, "entity", place).join(F.broadcast(carried), ["entity", "_shard"], "left")
+    local = carry(once, cuts, "entity", place, F.max("_end"), F.max("_sum"))
     w = Window.partitionBy("entity", "_shard").orderBy("_start", "_id")
     # greatest() skips nulls: covered until then by earlier rows of the shard or by earlier shards
     cover = F.greatest(F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
@@ -49,6 +44,8 @@ def busy_periods(
         F.count(F.lit(1)).alias("n"),
         F.max(F.when(F.col("_opens"), F.col("_cover"))).alias("free_since"),
     )
+    if cuts is None:
+        return pieces.select("entity", "start_ts", "end_ts", "n", "free_since")
     last = F.lead("_no").over(Window.partitionBy("entity", "_shard").orderBy("_no")).isNull()
     pieces = pieces.withColumn("_bound", F.col("_hot") & ((F.col("_no") == 0) | last))
     done = pieces.filter("not _bound").select("entity", "start_ts", "end_ts", "n", "free_since")

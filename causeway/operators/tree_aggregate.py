@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.skew import UNIT_FLOOR, assign_shards, before, shard_cuts
+from causeway.scratch import Scratch
+from causeway.skew import UNIT_FLOOR, carry, shard_cuts
 
 #: How each kind of state is taken from rows and merged.
 MERGE = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
@@ -49,14 +50,11 @@ def tree_aggregate(
     return level.drop("_node")
 
 
-def heavy_keys(rows: DataFrame, key: str, row_id: str, share: float, total: int) -> DataFrame:
+def heavy_keys(rows: DataFrame, key: str, row_id: str, share: float, total: int, scratch: Scratch) -> DataFrame:
     """(key_value, n): the non-null keys that hold at least ``share`` of the rows (ids)."""
-    counts = tree_aggregate(rows.select(row_id, key), [key], row_id, {"n": ("count", row_id)}, total)
-    counts = counts.select(F.col(key).alias("key_value"), "n", F.lit(1).alias("_one"))
-    # one row: the sum over the tree's root
-    whole = counts.groupBy("_one").agg(F.sum("n").alias("_all"))
-    held = counts.join(F.broadcast(whole), "_one").filter((F.col("n") >= F.col("_all") * share) & F.col("key_value").isNotNull())
-    return held.select("key_value", "n")
+    counts = scratch.keep(tree_aggregate(rows.select(row_id, key), [key], row_id, {"n": ("count", row_id)}, total))
+    held = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter((F.col("n") >= share * held) & F.col(key).isNotNull()).select(F.col(key).alias("key_value"), "n")
 
 
 def order_within_key(rows: DataFrame, key: str, order: list[str], row_id: str, total: int, floor: int = UNIT_FLOOR) -> DataFrame:
@@ -70,9 +68,7 @@ def order_within_key(rows: DataFrame, key: str, order: list[str], row_id: str, t
     once = rows.dropna(subset=[key, row_id]).groupBy(row_id).agg(*[F.max(c).alias(c) for c in dict.fromkeys([key, *wanted])])
     source = rows.select(*dict.fromkeys([row_id, key, *wanted])).dropna(subset=[key, row_id])
     place = [*wanted, row_id]
-    sharded = assign_shards(once, shard_cuts(source, key, place, total, floor), key, place)
-    sizes = sharded.filter("_hot").groupBy(key, "_shard").agg(F.count(F.lit(1)).alias("_size"))
-    ahead = before(sizes, key, F.sum("_size"), "_ahead")
+    cuts = shard_cuts(source, key, place, total, floor)
+    sharded = carry(once, cuts, key, place, F.count(F.lit(1)), F.sum("_sum"))
     w = Window.partitionBy(key, "_shard").orderBy(*place)
-    numbered = sharded.withColumn("_no", F.row_number().over(w)).join(F.broadcast(ahead), [key, "_shard"], "left")
-    return numbered.select(row_id, key, (F.col("_no") + F.coalesce("_ahead", F.lit(0))).alias("pos"))
+    return sharded.select(row_id, key, (F.row_number().over(w) + F.coalesce("_carry", F.lit(0))).alias("pos"))

@@ -58,10 +58,10 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = None
+    found, scratch = None, Scratch(spark)
     for name, key in (("polls", "task"), ("parks", "resource")):
         rows = table(spark, sf_dir, name)
-        part = heavy_keys(rows, key, "id", HEAVY_SHARE, rows.count())
+        part = heavy_keys(rows, key, "id", HEAVY_SHARE, rows.count(), scratch)
         part = part.select(F.lit(name).alias("table_name"), F.lit(key).alias("key_field"), "key_value")
         found = part if found is None else found.union(part)
     return found

@@ -49,37 +49,55 @@ def salted_join(rows: DataFrame, dims: DataFrame, keys: list[str], hot: DataFram
     return spread.drop("_units").join(copied.drop("_units"), [*keys, "_salt"], how).drop("_salt")
 
 
-def shard_cuts(rows: DataFrame, key: str, order: list[str], total: int, floor: int = UNIT_FLOOR) -> DataFrame:
+def shard_cuts(rows: DataFrame, key: str | list[str], order: list[str], total: int, floor: int = UNIT_FLOOR) -> DataFrame | None:
     """``key`` and ``_cuts``: where the ordered shards of each hot key begin (all but the first).
 
-    Cuts are places in the ``order`` columns, the last of which is unique within the key, so that
-    ties are split too. They come from a hash sample of the hot keys' rows, about MAX_UNITS *
-    SAMPLES_PER_UNIT rows in all; they only balance the shards, every row is kept.
+    Cuts are places in the ``order`` columns; if the last of them is unique within the key, ties are
+    split too. They come from a hash sample of the hot keys' rows, about MAX_UNITS *
+    SAMPLES_PER_UNIT rows in all; they only balance the shards, every row is kept. None if the table
+    is too small for any hot key.
     """
+    keys = [key] if isinstance(key, str) else key
     unit = unit_rows(total, floor)
-    hot = hot_keys(rows, [key], unit)
+    if total <= unit:
+        return None
+    hot = hot_keys(rows, keys, unit)
     every = max(1, unit // SAMPLES_PER_UNIT)
-    sampled = rows.filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(key, F.struct(*order).alias("_at")).join(F.broadcast(hot), key)
-    samples = sampled.groupBy(key, "_units").agg(F.array_sort(F.collect_list("_at")).alias("_all"))
+    sampled = rows.filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(*keys, F.struct(*order).alias("_at")).join(F.broadcast(hot), keys)
+    samples = sampled.groupBy(*keys, "_units").agg(F.array_sort(F.collect_list("_at")).alias("_all"))
     pick = F.transform(
         F.sequence(F.lit(1), F.col("_units") - 1),
         lambda i: F.element_at("_all", F.greatest(F.lit(1), F.floor(i * F.size("_all") / F.col("_units")).cast("int"))),
     )
-    return samples.filter("_units > 1").select(key, pick.alias("_cuts"))
+    return samples.filter("_units > 1").select(*keys, pick.alias("_cuts"))
 
 
-def assign_shards(rows: DataFrame, cuts: DataFrame, key: str, order: list[str]) -> DataFrame:
+def assign_shards(rows: DataFrame, cuts: DataFrame | None, key: str | list[str], order: list[str]) -> DataFrame:
     """``rows`` with ``_shard`` and ``_hot``: shards of a key follow each other in ``order``; a key that is not hot has shard 0 only."""
+    if cuts is None:
+        return rows.withColumn("_hot", F.lit(False)).withColumn("_shard", F.lit(0))
     at: Column = F.struct(*order)
     return (
-        rows.join(F.broadcast(cuts), key, "left")
+        rows.join(F.broadcast(cuts), [key] if isinstance(key, str) else key, "left")
         .withColumn("_hot", F.col("_cuts").isNotNull())
         .withColumn("_shard", F.when(F.col("_hot"), F.size(F.filter("_cuts", lambda c: c <= at))).otherwise(F.lit(0)))
         .drop("_cuts")
     )
 
 
-def before(summary: DataFrame, key: str, expr: Column, name: str) -> DataFrame:
-    """Per (key, _shard) of a summary of hot shards: ``expr`` over all earlier shards of the key."""
-    w = Window.partitionBy(key).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select(key, "_shard", expr.over(w).alias(name))
+def carry(rows: DataFrame, cuts: DataFrame | None, key: str | list[str], order: list[str], summary: Column, over: Column, *, after: bool = False) -> DataFrame:
+    """``rows`` in their shards, with ``_carry``: what comes from the key's earlier (or later) shards.
+
+    ``summary`` aggregates a shard's rows to ``_sum``; ``over`` folds the ``_sum`` of all earlier
+    shards, nearest last (with ``after``: later ones, nearest last too). Only hot keys have other
+    shards: at most 2 * MAX_UNITS rows are summed up and broadcast.
+    """
+    keys = [key] if isinstance(key, str) else key
+    sharded = assign_shards(rows, cuts, keys, order)
+    if cuts is None:
+        kind = rows.sparkSession.createDataFrame([], rows.schema).groupBy(*keys).agg(summary.alias("_sum")).withColumn("_x", over.over(Window.partitionBy(*keys))).schema["_x"].dataType
+        return sharded.withColumn("_carry", F.lit(None).cast(kind))
+    sums = assign_shards(rows.join(F.broadcast(cuts.select(*keys)), keys, "left_semi"), cuts, keys, order).groupBy(*keys, "_shard").agg(summary.alias("_sum"))
+    place = F.col("_shard").desc() if after else F.col("_shard").asc()
+    w = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return sharded.join(F.broadcast(sums.select(*keys, "_shard", over.over(w).alias("_carry"))), [*keys, "_shard"], "left")
