@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.scratch import Scratch
-from causeway.skew import UNIT_FLOOR, assign_shards, before, shard_cuts
+from causeway.skew import UNIT_FLOOR, carry, shard_cuts
 
 #: Doubling 62 times would pass any run of fewer than 2**62 events.
 MAX_ROUNDS = 62
@@ -34,16 +34,10 @@ def collapse_runs(
     source = source.dropna(subset=["entity", "_ts", "_id"])
     place = ["_ts", "_id"]
     cuts = shard_cuts(source, "entity", place, total, floor)
-    once = assign_shards(source.distinct(), cuts, "entity", place)
-
     this = F.struct("_ts", "_id", *names)
-    # hot shards only: at most 2 * MAX_UNITS rows
-    tails = assign_shards(source.join(F.broadcast(cuts.select("entity")), "entity", "left_semi"), cuts, "entity", place)
-    tails = tails.groupBy("entity", "_shard").agg(F.max(this).alias("_tail"))
-    handed = before(tails, "entity", F.last("_tail"), "_handed")
+    once = carry(source.distinct(), cuts, "entity", place, F.max(this), F.last("_sum"))
     w = Window.partitionBy("entity", "_shard").orderBy("_ts", "_id")
-    seen = once.withColumn("_last", F.lag(this).over(w)).join(F.broadcast(handed), ["entity", "_shard"], "left")
-    seen = seen.withColumn("_before", F.coalesce("_last", "_handed"))
+    seen = once.withColumn("_before", F.coalesce(F.lag(this).over(w), F.col("_carry")))
     like = F.col("_before").isNotNull()
     for n in names:
         like &= F.coalesce(F.col(n) == F.col(f"_before.{n}"), F.lit(False))
