@@ -8,8 +8,11 @@ grow with the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 UNIT_FLOOR = 50_000
 MAX_UNITS = 512
@@ -85,19 +88,21 @@ def assign_shards(rows: DataFrame, cuts: DataFrame | None, key: str | list[str],
     )
 
 
-def carry(rows: DataFrame, cuts: DataFrame | None, key: str | list[str], order: list[str], summary: Column, over: Column, *, after: bool = False) -> DataFrame:
+def carry(rows: DataFrame, cuts: DataFrame | None, key: str | list[str], order: list[str], summary: Column, over: Column | Callable[[WindowSpec], Column], *, after: bool = False) -> DataFrame:
     """``rows`` in their shards, with ``_carry``: what comes from the key's earlier (or later) shards.
 
-    ``summary`` aggregates a shard's rows to ``_sum``; ``over`` folds the ``_sum`` of all earlier
-    shards, nearest last (with ``after``: later ones, nearest last too). Only hot keys have other
+    ``summary`` aggregates a shard's rows to ``_sum``; ``over`` (an aggregate, or a function of the
+    window) folds the ``_sum`` of all earlier shards, nearest last (with ``after``: later ones,
+    nearest last too). Only hot keys have other
     shards: at most 2 * MAX_UNITS rows are summed up and broadcast.
     """
     keys = [key] if isinstance(key, str) else key
+    fold = over.over if isinstance(over, Column) else over
     sharded = assign_shards(rows, cuts, keys, order)
     if cuts is None:
-        kind = rows.sparkSession.createDataFrame([], rows.schema).groupBy(*keys).agg(summary.alias("_sum")).withColumn("_x", over.over(Window.partitionBy(*keys))).schema["_x"].dataType
+        kind = rows.sparkSession.createDataFrame([], rows.schema).groupBy(*keys).agg(summary.alias("_sum")).withColumn("_x", fold(Window.partitionBy(*keys).orderBy(*keys))).schema["_x"].dataType
         return sharded.withColumn("_carry", F.lit(None).cast(kind))
     sums = assign_shards(rows.join(F.broadcast(cuts.select(*keys)), keys, "left_semi"), cuts, keys, order).groupBy(*keys, "_shard").agg(summary.alias("_sum"))
     place = F.col("_shard").desc() if after else F.col("_shard").asc()
     w = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    return sharded.join(F.broadcast(sums.select(*keys, "_shard", over.over(w).alias("_carry"))), [*keys, "_shard"], "left")
+    return sharded.join(F.broadcast(sums.select(*keys, "_shard", fold(w).alias("_carry"))), [*keys, "_shard"], "left")
