@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.schema import EVENTS, TABLES
+from causeway.scratch import Scratch
 from causeway.skew import carry, shard_cuts
 
 RUN = "run"
@@ -75,14 +76,17 @@ def _ended(spawned: DataFrame, ends: DataFrame, name: str) -> DataFrame:
     return spawned.join(first, ["run_id", "id"], "left").drop("_seq")
 
 
-def from_log(log: DataFrame, total: int | None = None) -> Recording:
+def from_log(log: DataFrame, total: int | None = None, scratch: Scratch | None = None) -> Recording:
     """The six tables of an event log (schema.EVENTS), by order of ``seq`` within each run.
 
     The first declaration of an id holds; the first end after it, too. A poll is a start directly
     followed by an end among the task's poll events: a later start replaces an open one, an end
     without a start is dropped, and the start left open gives a poll without end, last in order.
-    ``id`` of polls, parks, wakes and states is their place in the log.
+    ``id`` of polls, parks, wakes and states is their place in the log. With ``scratch``, the log and
+    the tables are written there once, which pays if more than one query follows.
     """
+    if scratch is not None:
+        log = scratch.keep(log)
     total = log.count() if total is None else total
     of = lambda kind: log.filter(F.col("ev") == kind)
 
@@ -114,4 +118,6 @@ def from_log(log: DataFrame, total: int | None = None) -> Recording:
         "resource_state": of("resource_state").select("run_id", place, "resource", "field", "value", "op", "ts"),
     }
     tables = {name: tables[name].select(*TABLES[name].fieldNames()) for name in TABLES}
+    if scratch is not None:
+        tables = {name: scratch.keep(df) for name, df in tables.items()}
     return Recording(log.sparkSession, tables, dict.fromkeys(TABLES, total))
