@@ -86,7 +86,9 @@ class _Batch(DataSourceReader):
             raise FileNotFoundError(self.options["path"])
         return [LogFile(p) for p in found]
 
-    def read(self, partition: LogFile) -> Iterator[tuple]:
+    def read(self, partition: LogFile | None) -> Iterator[tuple]:
+        if partition is None:  # no file
+            return
         yield from read_rows(partition.path, self.options.get("run_id") or os.path.basename(partition.path), self.mode, _magic(self.options))
 
 
