@@ -164,7 +164,8 @@ def park_episodes(rec: Recording, until: DataFrame) -> DataFrame:
     cuts = shard_cuts(both, keys, ["ts"], rec.total("parks") + rec.total("polls"))
     # rows of one instant stay in one shard, so later shards are strictly later
     sharded = carry(both, cuts, keys, ["ts"], F.min("opens"), F.min("_sum"), after=True)
-    w = Window.partitionBy(*keys, "_shard").orderBy("ts").rangeBetween(1, Window.unboundedFollowing)
+    # from the end backwards: a frame that only grows is folded once, one that shrinks anew for each row
+    w = Window.partitionBy(*keys, "_shard").orderBy(F.desc("ts")).rangeBetween(Window.unboundedPreceding, -1)
     nexts = sharded.withColumn("_next", F.coalesce(F.min("opens").over(w), F.col("_carry"))).filter("id is not null")
     nexts = nexts.join(F.broadcast(until), "run_id").filter("ts <= at")
     ends = rec.tasks.filter("end_ts is not null").select("run_id", F.col("id").alias("task"), F.col("end_ts").alias("_task_end"))
