@@ -56,7 +56,7 @@ def _cores(left: DataFrame, paths: bool) -> DataFrame:
         *KEY,
         F.when(~core, F.col("id")).alias("root"),
         F.when(~core, F.lit(0).cast("bigint")).alias("depth"),
-        (F.when(~core, F.array("id")) if paths else F.lit(None).cast("array<bigint>")).alias("path"),
+        (F.array("id") if paths else F.lit(None).cast("array<bigint>")).alias("path"),
         F.when(core, "on_cycle").otherwise("rooted").alias("state"),
     )
 
@@ -73,12 +73,13 @@ def _place(taken: DataFrame, placed: DataFrame, hot: DataFrame | None, paths: bo
 
 
 def hierarchy(nodes: DataFrame, scratch: Scratch, total: int, *, paths: bool = True) -> DataFrame:
-    """For each node of ``nodes`` (grp, id, parent): (grp, id, parent, root, depth, path, state).
+    """For each node of ``nodes`` (grp, id, parent): (grp, id, parent, root, depth, path, hangs, state).
 
     Trees are separate per ``grp``. ``state`` is ``rooted`` (depth 0 for a node whose parent is null
     or names no node), ``on_cycle`` or ``below_cycle``; only rooted nodes have a root, a depth and a
-    path (root first, the node last). Without ``paths``, the path is null, and so is the root in a
-    tree whose topmost node names a missing parent.
+    path (root first, the node last). ``hangs`` is the same for a ``below_cycle`` node, from the
+    circle node it hangs from. Without ``paths``, both are null, and so is the root in a tree whose
+    topmost node names a missing parent.
 
     Rounds of leaf raking and unary-chain compression shrink the forest, each recording what it took
     out and from where, until only roots and nodes that are their own parent are left: the latter are
@@ -116,6 +117,8 @@ def hierarchy(nodes: DataFrame, scratch: Scratch, total: int, *, paths: bool = T
         spliced = _place(taken.filter("step = 'splice'").drop("step"), placed, hot, paths)
         below = placed.select("grp", F.col("id").alias("child"), F.col("state").alias("_child_state"))
         spliced = spliced.join(below, ["grp", "child"], "left").withColumn("state", F.when(F.col("_child_state") == "on_cycle", "on_cycle").otherwise(F.col("state")))
+        if paths:  # below a circle, paths begin at the circle node
+            spliced = spliced.withColumn("path", F.when(F.col("state") == "on_cycle", F.array("id")).otherwise(F.col("path")))
         placed = placed.unionByName(spliced.drop("child", "_child_state"))
         raked = _place(taken.filter("step = 'rake'").drop("step"), placed, hot, paths).drop("child")
         placed = scratch.keep(placed.unionByName(raked))
@@ -138,7 +141,8 @@ def hierarchy(nodes: DataFrame, scratch: Scratch, total: int, *, paths: bool = T
         "parent",
         F.when(ghost, F.get("path", F.lit(1))).otherwise(F.col("root")).alias("root"),
         (F.col("depth") - F.when(ghost, 1).otherwise(0)).alias("depth"),
-        path.alias("path"),
+        F.when(F.col("state") == "rooted", path).alias("path"),
+        F.when(F.col("state") == "below_cycle", F.col("path")).alias("hangs"),
         "state",
     )
 
@@ -147,3 +151,13 @@ def descendants(placed: DataFrame) -> DataFrame:
     """(grp, ancestor, id, distance): every rooted node below each of its ancestors, from the paths of hierarchy()."""
     inner = placed.filter("state = 'rooted'").select("grp", "id", "depth", F.posexplode("path").alias("_at", "ancestor"))
     return inner.filter("_at < depth").select("grp", "ancestor", "id", (F.col("depth") - F.col("_at")).alias("distance"))
+
+
+def hanging(placed: DataFrame) -> DataFrame:
+    """(grp, ancestor, id, distance): every node below a circle with each node above it, up to the circle node it hangs from.
+
+    So a circle node's descendants are the nodes that hang from it, not those that hang from other
+    nodes of the circle; circle nodes are nobody's descendants, as each would be above and below all others.
+    """
+    inner = placed.filter("state = 'below_cycle'").select("grp", "id", F.size("hangs").cast("bigint").alias("_n"), F.posexplode("hangs").alias("_at", "ancestor"))
+    return inner.filter("_at < _n - 1").select("grp", "ancestor", "id", (F.col("_n") - 1 - F.col("_at")).alias("distance"))

@@ -69,6 +69,13 @@ tree AS (
   SELECT n.grp, n.id, [n.id] AS path FROM nodes n WHERE n.parent IS NULL OR NOT EXISTS (SELECT 1 FROM nodes m WHERE m.grp = n.grp AND m.id = n.parent)
   UNION ALL SELECT n.grp, n.id, list_append(t.path, n.id) FROM tree t JOIN nodes n ON n.grp = t.grp AND n.parent = t.id)
 SELECT grp AS table_name, unnest(path[:-2]) AS ancestor, id AS node_id, unnest(range(len(path) - 1, 0, -1)) AS distance FROM tree""",
+    # from each node below a circle upwards until a node of the circle
+    "p5_descendants_all": _WALK
+    + """, up AS (SELECT n.grp, n.parent AS ancestor, n.id, CAST(1 AS BIGINT) AS distance FROM nodes n WHERE n.parent IS NOT NULL
+  AND EXISTS (SELECT 1 FROM nodes m WHERE m.grp = n.grp AND m.id = n.parent) AND NOT EXISTS (SELECT 1 FROM stuck s WHERE s.grp = n.grp AND s.id = n.id AND node_state = 'on_cycle')
+  UNION ALL SELECT up.grp, n.parent, up.id, distance + 1 FROM up JOIN nodes n ON n.grp = up.grp AND n.id = up.ancestor JOIN nodes m ON m.grp = n.grp AND m.id = n.parent
+    WHERE NOT EXISTS (SELECT 1 FROM stuck s WHERE s.grp = n.grp AND s.id = n.id AND node_state = 'on_cycle'))
+SELECT grp AS table_name, ancestor, id AS node_id, distance FROM up""",
     "p6_found": _PERIODS
     + """SELECT task, 'period' AS span_kind, start_ts, end_ts FROM p WHERE n >= 2
     UNION ALL SELECT task, 'gap', free_since, start_ts FROM b WHERE start_ts - free_since BETWEEN 50000000 AND 20000000000""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.names import plain_name
 from causeway.operators.features import entity_features
-from causeway.operators.hierarchy import descendants, hierarchy
+from causeway.operators.hierarchy import descendants, hanging, hierarchy
 from causeway.operators.intervals import busy_periods, periods_and_gaps
 from causeway.operators.references import broken_references, per_period
 from causeway.operators.tree_aggregate import heavy_keys, order_within_key, tree_aggregate
@@ -106,11 +106,20 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("grp").alias("table_name"), F.col("id").alias("node_id"), "root", "depth", F.array_join("path", "/").alias("path"), F.col("state").alias("node_state"))
 
 
-def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    below = descendants(_hierarchy(spark, sf_dir, paths=True))
+def _pairs(below: DataFrame) -> DataFrame:
     return below.select(F.col("grp").alias("table_name"), "ancestor", F.col("id").alias("node_id"), "distance")
 
 
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rooted nodes; p5_descendants_all has those below circles, too."""
+    return _pairs(descendants(_hierarchy(spark, sf_dir, paths=True)))
+
+
+def p5_descendants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = _hierarchy(spark, sf_dir, paths=True)
+    return _pairs(descendants(placed).unionByName(hanging(placed)))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     polls = table(spark, sf_dir, "polls")
     spans = periods_and_gaps(busy_periods(polls, "task", "id", polls.count()), least_n=2, least_gap=50_000_000, most_gap=20_000_000_000)
@@ -124,5 +133,5 @@ def p6_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (p1_features, p3_found, p3_report, p4_found, p4_key_totals, p4_order, p5_found, p5_hierarchy, p5_descendants, p6_found, p6_periods)
+    for q in (p1_features, p3_found, p3_report, p4_found, p4_key_totals, p4_order, p5_found, p5_hierarchy, p5_descendants, p5_descendants_all, p6_found, p6_periods)
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.names import plain_name
 from causeway.operators.features import entity_features
-from causeway.operators.hierarchy import descendants, hierarchy
+from causeway.operators.hierarchy import descendants, hanging, hierarchy
 from causeway.operators.intervals import busy_periods, periods_and_gaps
 from causeway.operators.references import broken_references, per_period
 from causeway.operators.tree_aggregate import heavy_keys, order_within_key, tree_aggregate
@@ -128,6 +128,29 @@ def test_hierarchy(spark, request, small):
     assert rows(hierarchy(df.limit(0), Scratch(spark), 0)) == []
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_hanging(spark, request, small):
+    if small:
+        request.getfixturevalue("small_units")
+    rnd = random.Random(4)
+    nodes = {1: 3, 2: 1, 3: 2, 4: 4, 5: 6, 6: 5}  # circles of three, one and two
+    nodes |= {10: 1, 11: 10, 20: 4, 30: None, 31: 30}
+    nodes |= {100: 2} | {k: k - 1 for k in range(101, 130)}  # a chain below a circle
+    nodes |= {k: rnd.choice([1, 2, 3, 5, 129, *range(200, k)]) for k in range(200, 240)}
+    df = spark.createDataFrame([("g", k, p) for k, p in nodes.items()] + [("h", 7, 7), ("h", 8, 7)], "grp string, id bigint, parent bigint")
+    placed = hierarchy(df, Scratch(spark), len(nodes))
+    state = {v: s for v, (_, _, _, s) in brute_tree(nodes).items()}
+    want = {("h", 7, 8, 1)}
+    for v in nodes:
+        x, steps = v, 0
+        while state[v] == "below_cycle" and state[x] != "on_cycle":
+            x, steps = nodes[x], steps + 1
+            want.add(("g", x, v, steps))
+    got = [tuple(r) for r in hanging(placed).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert rows(descendants(placed)) == [("g", 30, 31, 1)]
+
+
 def brute_periods(data):
     out = []
     for task in {d[1] for d in data}:
