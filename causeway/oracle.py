@@ -60,6 +60,8 @@ SQL = {
         CAST(sum(CASE WHEN end_ts >= start_ts THEN end_ts - start_ts ELSE 0 END) AS BIGINT) AS total_ns, max(start_ts) AS last_ts FROM {_POLLS} GROUP BY task
     UNION ALL SELECT 'parks', 'resource', resource, count(*), 0, max(ts) FROM {_PARKS} GROUP BY resource""",
     "p4_order": f"SELECT id, task, row_number() OVER (PARTITION BY task ORDER BY start_ts NULLS FIRST, id) AS pos FROM {_POLLS} WHERE task IS NOT NULL",
+    "p4_order_all": f"""SELECT 'polls' AS table_name, 'task' AS key_field, id, task AS key_value, row_number() OVER (PARTITION BY task ORDER BY start_ts NULLS FIRST, id) AS pos FROM {_POLLS} WHERE task IS NOT NULL
+    UNION ALL SELECT 'parks', 'resource', id, resource, row_number() OVER (PARTITION BY resource ORDER BY ts NULLS FIRST, id) FROM {_PARKS} WHERE resource IS NOT NULL""",
     "p5_found": _WALK + "SELECT grp AS table_name, id AS node_id, node_state FROM stuck",
     "p5_hierarchy": _WALK
     + """SELECT grp AS table_name, id AS node_id, root, depth, path, 'rooted' AS node_state FROM tree

@@ -83,10 +83,21 @@ def p4_key_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polls; p4_order_all has the parks, too."""
     polls = table(spark, sf_dir, "polls")
     return order_within_key(polls, "task", ["start_ts"], "id", polls.count())
 
 
+def p4_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = None
+    for name, key, ts in (("polls", "task", "start_ts"), ("parks", "resource", "ts")):
+        rows = table(spark, sf_dir, name)
+        part = order_within_key(rows, key, [ts], "id", rows.count())
+        part = part.select(F.lit(name).alias("table_name"), F.lit(key).alias("key_field"), "id", F.col(key).alias("key_value"), "pos")
+        found = part if found is None else found.union(part)
+    return found
+
+
 def _hierarchy(spark: SparkSession, sf_dir: str, paths: bool) -> DataFrame:
     tables = {name: table(spark, sf_dir, name).select("id", "parent") for name in ("tasks", "resources")}
     nodes = None
@@ -133,5 +144,5 @@ def p6_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (p1_features, p3_found, p3_report, p4_found, p4_key_totals, p4_order, p5_found, p5_hierarchy, p5_descendants, p5_descendants_all, p6_found, p6_periods)
+    for q in (p1_features, p3_found, p3_report, p4_found, p4_key_totals, p4_order, p4_order_all, p5_found, p5_hierarchy, p5_descendants, p5_descendants_all, p6_found, p6_periods)
 }

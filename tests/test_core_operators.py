@@ -93,6 +93,19 @@ def test_order_within_key(spark, request, small):
     assert got == want
 
 
+def test_order_of_both_tables(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    polls = [(1, 7, 5, 6), (2, 7, 3, None), (2, 7, 3, None), (3, None, 1, 2)]
+    parks = [(1, 7, 9, "a", 5), (2, 8, 9, "a", 4), (3, 8, None, "a", 1), (4, 8, 6, "a", 4), (4, 8, 6, "a", 4)]
+    spark.createDataFrame(polls, "id bigint, task bigint, start_ts bigint, end_ts bigint").write.parquet(f"{tmp_path}/polls.parquet")
+    spark.createDataFrame(parks, "id bigint, task bigint, resource bigint, op_name string, ts bigint").write.parquet(f"{tmp_path}/parks.parquet")
+    got = entry.queries()["p4_order_all"](spark, str(tmp_path))
+    assert got.columns == ["table_name", "key_field", "id", "key_value", "pos"]
+    want = [("polls", "task", 2, 7, 1), ("polls", "task", 1, 7, 2), ("parks", "resource", 2, 9, 1), ("parks", "resource", 1, 9, 2), ("parks", "resource", 4, 6, 1)]
+    assert rows(got) == sorted(want, key=repr)
+
+
 def brute_tree(nodes):
     out = {}
     for v in nodes:
