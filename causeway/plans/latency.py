@@ -9,13 +9,12 @@ from causeway.functions.labels import is_timer
 from causeway.plans.folds import park_episodes
 from causeway.recording import Recording
 from causeway.schema import HOLDER_FIELD
+from causeway.scratch import Scratch
 from causeway.skew import carry, shard_cuts
 
 TASK = ["run_id", "task"]
 #: Order of rows of one instant: a wake, a poll's start, the end of the task's window, a park.
 WAKE, POLL, CLOSE, PARK = range(4)
-#: More waits than this are not explained at once; the report shows a few per run.
-MOST_WAITS = 10_000
 
 
 def windows(rec: Recording, until: DataFrame) -> DataFrame:
@@ -135,9 +134,13 @@ def holders_then(rec: Recording, probes: DataFrame) -> DataFrame:
     return rows.withColumn("holder", F.when(~F.coalesce(free, F.lit(False)), F.col("holder"))).drop("drop_ts", "_done")
 
 
-def blamed_waits(rec: Recording, until: DataFrame) -> DataFrame:
-    """wait_episodes on resources, with the holder at the wait's begin: another task, and none for timers."""
+def blamed_waits(rec: Recording, until: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """wait_episodes on resources, with the holder at the wait's begin: another task, and none for timers.
+
+    With ``scratch``, the episodes are written there once.
+    """
     waits = wait_episodes(rec, until).filter("resource is not null").withColumn("t", F.greatest("since", "g0"))
+    waits = waits if scratch is None else scratch.keep(waits)
     held = holders_then(rec, waits).drop("t")
     return held.withColumn("holder", F.when((F.col("holder") != F.col("task")) & ~F.col("timer"), F.col("holder")))
 
@@ -152,29 +155,82 @@ def longest_waits(waits: DataFrame, n: int = 5) -> DataFrame:
     return packed.select(*TASK, F.explode("_w").alias("_x")).select(*TASK, "_x.*").drop("_neg").select(*waits.columns)
 
 
-def holder_activity(rec: Recording, waits: DataFrame, until: DataFrame) -> DataFrame:
+def holder_activity(rec: Recording, waits: DataFrame, until: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``waits`` (run_id, task, g0, g1, lag_ns, holder, ...) with what the holder did meanwhile: polling_ns, parked_ns, parked_on.
 
-    For the few waits of a report, which are counted first; the recording is passed over once.
-    ``parked_on`` is the resource of the first park that covers most of the wait.
+    For any number of waits: all polls, parks and both ends of all waits of a holder are ordered
+    once, and each end takes the time polled and parked until then from running sums. ``parked_on``
+    is the resource of the first park that covers most of the wait.
+
+    Of the parks that end with the same poll's start, only the first can be it, and these lead parks
+    don't overlap: a wait meets those of a range of numbers. All but the first and last lie in it
+    whole, so the range is cut into blocks of 2^k neighbours, at most two a level, with known maxima.
     """
+    scratch = scratch or Scratch(rec.spark)
     waits = waits.filter("holder is not null").withColumn("_to", F.col("g1") - F.col("lag_ns"))
-    if waits.limit(MOST_WAITS + 1).count() > MOST_WAITS:
-        raise ValueError(f"more than {MOST_WAITS} waits; choose the longest")
-    few = F.broadcast(waits.select("run_id", F.col("task").alias("waiter"), F.col("holder").alias("task"), "g0", "_to").distinct())
-    met = lambda s, e: F.least(e, F.col("_to")) - F.greatest(s, F.col("g0"))
-    polls = rec.polls.join(few, TASK).filter("start_ts <= _to and (end_ts is null or end_ts >= g0)")
-    polls = polls.withColumn("_len", met(F.col("start_ts"), F.coalesce("end_ts", "_to"))).filter("_len >= 0")
-    key = ["run_id", "waiter", "task", "g0"]
-    polling = polls.groupBy(*key).agg(F.sum("_len").alias("polling_ns"))
-    parks = park_episodes(rec, until).join(few, TASK).withColumn("_len", met(F.col("ts"), F.col("ts") + F.col("dur"))).filter("_len > 0")
-    parked = parks.groupBy(*key).agg(F.sum("_len").alias("parked_ns"), F.max(F.struct("_len", (-F.col("ts")).alias("a"), (-F.col("id")).alias("b"), "resource")).alias("_on"))
-    names = waits.select("*", F.col("task").alias("waiter")).drop("task").withColumn("task", F.col("holder"))
-    full = names.join(polling, key, "left").join(parked, key, "left")
-    zero = F.lit(0).cast("bigint")
+    parks = scratch.keep(park_episodes(rec, until).filter("dur > 0 and task is not null").select(*TASK, "id", "resource", F.col("ts").alias("s"), (F.col("ts") + F.col("dur")).alias("e")))
+    leads = parks.groupBy(*TASK, "e").agg(F.min(F.struct("s", "id", "resource")).alias("_f")).select(*TASK, "_f.*", "e")
+    asked = waits.select("run_id", F.col("holder").alias("task"), F.struct(F.col("task").alias("waiter"), "resource", "op", "since", "g0", "g1", "wait_ns", "lag_ns", "_to").alias("wait"))
+    no_wait, no_lead = F.lit(None).cast(asked.schema["wait"].dataType), F.lit(None).cast("struct<s:bigint,e:bigint,id:bigint,resource:bigint>")
+
+    def ends(df: DataFrame, kind: str, wait=no_wait, lead=no_lead) -> DataFrame:
+        """Both ends of [s, e] as rows; of one instant, ends of lead parks, then waits, then starts of lead parks."""
+        rank = {"lead": (2, 0), "wait": (1, 1)}.get(kind, (0, 0))
+        sides = [F.struct(t.alias("t"), F.lit(r).alias("rank"), F.lit(w).cast("bigint").alias("w")) for t, r, w in ((F.col("s"), rank[0], 1), (F.col("e"), rank[1], -1))]
+        full = df.select(*TASK, F.explode(F.array(*sides)).alias("_x"), "id", F.lit(kind).alias("kind"), wait.alias("wait"), lead.alias("lead"))
+        return full.select(*TASK, "_x.*", "id", "kind", "wait", "lead").filter("t is not null")
+
+    polls = rec.polls.filter("task is not null and start_ts is not null and (end_ts is null or end_ts >= start_ts)").select(*TASK, "id", F.col("start_ts").alias("s"), F.col("end_ts").alias("e"))
+    rows = ends(polls, "poll").unionByName(ends(parks, "park")).unionByName(ends(leads, "lead", lead=F.struct("s", "e", "id", "resource")))
+    rows = rows.unionByName(ends(asked.select(*TASK, F.col("wait.g0").alias("s"), F.col("wait._to").alias("e"), F.col("wait.waiter").alias("id"), "wait"), "wait", wait=F.col("wait")))
+    kept = rows = scratch.keep(rows.select("*", F.monotonically_increasing_id().alias("no")))
+    scratch.drop(parks)
+    place = ["t", "rank", "no"]
+    cuts = shard_cuts(rows, TASK, place, rows.count())
+    # sums of times outgrow 64 bits before starts and ends cancel out
+    wide = F.col("w").cast("decimal(20,0)") * F.col("t").cast("decimal(20,0)")
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    parts = {"pn": of("poll", F.col("w")), "pt": of("poll", wide), "kn": of("park", F.col("w")), "kt": of("park", wide)}
+    parts |= {"opened": F.when((F.col("kind") == "lead") & (F.col("w") > 0), F.lit(1)), "closed": F.when((F.col("kind") == "lead") & (F.col("w") < 0), F.lit(1))}
+    cast = lambda name, c: c.cast("decimal(38,0)" if name in ("pt", "kt") else "bigint")
+    rows = carry(
+        rows, cuts, TASK, place,
+        F.struct(*[cast(n, F.sum(c)).alias(n) for n, c in parts.items()]),
+        lambda w: F.struct(*[cast(n, F.sum(f"_sum.{n}").over(w)).alias(n) for n in parts]),
+    )
+    w = Window.partitionBy(*TASK, "_shard").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = {n: cast(n, F.coalesce(cast(n, F.sum(c).over(w)), F.lit(0)) + F.coalesce(F.col(f"_carry.{n}"), F.lit(0))) for n, c in parts.items()}
+    seen = rows.select(*TASK, "t", "w", "kind", "wait", "lead", *[c.alias(n) for n, c in so_far.items()]).filter("kind = 'wait' or (kind = 'lead' and w > 0)")
+    spent = lambda n: (F.col(f"{n}n").cast("decimal(20,0)") * F.col("t").cast("decimal(18,0)") - F.col(f"{n}t")).cast("bigint")
+    seen = scratch.keep(seen.select(*TASK, "w", "kind", "wait", "lead", "opened", "closed", spent("p").alias("p"), spent("k").alias("k")))
+    scratch.drop(kept)
+
+    side = lambda sign, c: F.max(F.when(F.col("w") == sign, F.col(c)))
+    probes = seen.filter("kind = 'wait'").groupBy(*TASK, "wait").agg(
+        (side(-1, "p") - side(1, "p")).alias("polling_ns"), (side(-1, "k") - side(1, "k")).alias("parked_ns"),
+        (side(1, "closed") + 1).alias("lo"), side(-1, "opened").alias("hi"),
+    )
+    probes = scratch.keep(probes)
+    longest = probes.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
+    top = max(1, longest or 1).bit_length()
+    numbered = seen.filter("kind = 'lead'").select(*TASK, "lead.*", (F.col("opened") - 1).alias("no"))
+    best = F.struct((F.col("e") - F.col("s")).alias("len"), (-F.col("s")).alias("a"), (-F.col("id")).alias("b"), "resource", "s", "e")
+    blocks = numbered.select(*TASK, best.alias("best"), "no", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"))
+    blocks = blocks.groupBy(*TASK, "level", F.expr("shiftright(no, level)").alias("block")).agg(F.max("best").alias("best"))
+    # whole leads are numbers lo .. hi - 2 from 0; the first is lo - 1, the last hi - 1
+    first, after = "shiftright(lo + shiftleft(1L, v) - 1, v)", "shiftright(hi - 1, v)"
+    whole = f"""flatten(transform(sequence(0, {top}), v -> array(
+      CASE WHEN {first} < {after} AND {first} % 2 = 1 THEN struct(v AS level, {first} AS block) END,
+      CASE WHEN {first} < {after} AND {after} % 2 = 1 THEN struct(v AS level, {after} - 1 AS block) END)))"""
+    outer = "array(struct(0 AS level, lo - 1 AS block), CASE WHEN hi > lo THEN struct(0 AS level, hi - 1 AS block) END)"
+    sought = probes.filter("lo <= hi").select(*TASK, F.struct("wait.waiter", "wait.g0", "wait._to").alias("x"), F.explode(F.array_compact(F.expr(f"concat({outer}, {whole})"))).alias("_b"))
+    met = sought.select(*TASK, "x", "_b.level", "_b.block").join(blocks, [*TASK, "level", "block"])
+    met = met.withColumn("_len", F.least("best.e", "x._to") - F.greatest("best.s", "x.g0")).filter("_len > 0")
+    on = met.groupBy("run_id", F.col("x.waiter").alias("waiter"), F.col("x.g0").alias("g0")).agg(F.max(F.struct("_len", "best.a", "best.b", "best.resource")).alias("_on"))
+    full = probes.select("run_id", F.col("task").alias("holder"), "wait.*", "polling_ns", "parked_ns").join(on, ["run_id", "waiter", "g0"], "left")
     return full.select(
         "run_id", F.col("waiter").alias("task"), "resource", "op", "since", "g0", "g1", "wait_ns", "lag_ns", "holder",
-        F.coalesce("polling_ns", zero).alias("polling_ns"), F.coalesce("parked_ns", zero).alias("parked_ns"), F.col("_on.resource").alias("parked_on"),
+        "polling_ns", "parked_ns", F.col("_on.resource").alias("parked_on"),
     )
 
 

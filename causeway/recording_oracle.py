@@ -215,6 +215,12 @@ SQL = {
       AND least(coalesce(end_ts, g1 - lag_ns), g1 - lag_ns) >= greatest(start_ts, g0)), 0) AS polling_ns,
     coalesce((SELECT CAST(sum(greatest(0, least(ts + dur, g1 - lag_ns) - greatest(ts, g0))) AS BIGINT) FROM pe WHERE pe.run_id = tw.run_id AND pe.task = tw.holder), 0) AS parked_ns,
     (SELECT arg_max(pe.resource, (least(ts + dur, g1 - lag_ns) - greatest(ts, g0), -ts, -id)) FROM pe WHERE pe.run_id = tw.run_id AND pe.task = tw.holder AND least(ts + dur, g1 - lag_ns) > greatest(ts, g0)) AS parked_on FROM tw""",
+    "holder_activity_all": _with(*_B, _EPISODES, _GAPS, _BLAMED, "tw AS (SELECT * FROM bw WHERE holder IS NOT NULL)")
+    + """SELECT run_id, task, resource, op, since, g0, g1, wait_ns, lag_ns, holder,
+    coalesce((SELECT CAST(sum(least(coalesce(end_ts, g1 - lag_ns), g1 - lag_ns) - greatest(start_ts, g0)) AS BIGINT) FROM po WHERE po.run_id = tw.run_id AND po.task = tw.holder AND start_ts <= g1 - lag_ns AND (end_ts IS NULL OR end_ts >= g0)
+      AND least(coalesce(end_ts, g1 - lag_ns), g1 - lag_ns) >= greatest(start_ts, g0)), 0) AS polling_ns,
+    coalesce((SELECT CAST(sum(greatest(0, least(ts + dur, g1 - lag_ns) - greatest(ts, g0))) AS BIGINT) FROM pe WHERE pe.run_id = tw.run_id AND pe.task = tw.holder), 0) AS parked_ns,
+    (SELECT arg_max(pe.resource, (least(ts + dur, g1 - lag_ns) - greatest(ts, g0), -ts, -id)) FROM pe WHERE pe.run_id = tw.run_id AND pe.task = tw.holder AND least(ts + dur, g1 - lag_ns) > greatest(ts, g0)) AS parked_on FROM tw""",
     "pick_slow": _with(*_B, _EPISODES) + "SELECT run_id, arg_max(task, (d, -task)) AS task FROM (SELECT run_id, task, sum(dur) AS d FROM pe GROUP BY ALL) GROUP BY run_id",
     "lint_findings": _with(*_B, _END, _STATUS, _HOLDER, _LINKS, _WALK, _DEAD, _EPISODES, _DEPTHS) + _lint(1_000_000, 1_000_000_000),
     "ring_lint": _with(*_RING_END, _EPISODES, _DEPTHS) + _lint(1, 100_000),

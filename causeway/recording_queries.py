@@ -161,7 +161,15 @@ def holder_activity(spark, sf_dir):
     """The longest blamed waits of all and what their holders did."""
     rec, ends, scratch = _rec(spark, sf_dir)
     waits = latency.blamed_waits(rec, ends).filter("holder is not null").orderBy(F.desc("wait_ns"), "task", "g0").limit(20)
-    return latency.holder_activity(rec, scratch.keep(waits), ends)
+    return latency.holder_activity(rec, scratch.keep(waits), ends, scratch)
+
+
+def holder_activity_all(spark, sf_dir):
+    """All blamed waits and what their holders did."""
+    rec, ends, scratch = _rec(spark, sf_dir)
+    # read many times: without its tables written once, the plan outgrows the driver
+    rec = Recording(spark, {name: scratch.keep(df) for name, df in rec.tables.items()}, rec.totals)
+    return latency.holder_activity(rec, latency.blamed_waits(rec, ends, scratch), ends, scratch)
 
 
 def pick_slow(spark, sf_dir):
@@ -242,7 +250,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         bounds, task_status, resource_holder, resource_permits, world_tasks, world_resources, channel_depths, park_episodes, longest_parks, hold_intervals, poll_percentiles, run_stats,
-        wait_for, why_blocked, ring_why_blocked, deadlocks, ring_deadlocks, pick_blocked, latency_buckets, wait_episodes, holder_activity, pick_slow, lint_findings, ring_lint, lock_order_edges,
+        wait_for, why_blocked, ring_why_blocked, deadlocks, ring_deadlocks, pick_blocked, latency_buckets, wait_episodes, holder_activity, holder_activity_all, pick_slow, lint_findings, ring_lint, lock_order_edges,
         lock_cycles, predicted, ring_predict, interval_merge, task_groups, resource_groups, run_summary, diff_findings, spawn_tree, hunt_cycles,
     )
 }

@@ -1,10 +1,12 @@
 """Golden recordings, all folded at once as runs of one log."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from causeway.plans import blocked, diff, folds, hunt, latency, lint, predict, stats, tree
-from causeway.recording import from_log
+from causeway.recording import Recording, from_log
 from causeway.schema import EVENTS
 from causeway.scratch import Scratch
 
@@ -217,6 +219,35 @@ def test_latency(world):
     assert slow["lpark"] == 1 and slow["base"] == 1
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_holder_activity_of_all_waits(spark, request, small):
+    if small:
+        request.getfixturevalue("small_units")
+    rnd = random.Random(5)
+    polls = [(k, 7, s, rnd.choice([s + 3, s + 1, s, s + 9, s - 2, None if s > 380 else s + 2])) for k, s in enumerate(rnd.sample(range(400), 80))] + [(90, 8, 5, None)]
+    parks = [(k, rnd.choice([7, 7, 7, 8]), rnd.choice([1, 2, 3]), "x", rnd.randrange(400)) for k in range(120)]
+    frames = {
+        "tasks": spark.createDataFrame([("r", 7, 390), ("r", 8, None)], "run_id string, id bigint, end_ts bigint"),
+        "polls": spark.createDataFrame([("r", *p) for p in polls], "run_id string, id bigint, task bigint, start_ts bigint, end_ts bigint"),
+        "parks": spark.createDataFrame([("r", *p) for p in parks], "run_id string, id bigint, task bigint, resource bigint, op_name string, ts bigint"),
+    }
+    rec = Recording(spark, frames, {n: 500 for n in frames})
+    until = spark.createDataFrame([("r", 400)], "run_id string, at bigint")
+    # more than were taken at once before
+    starts = [(t, g) for t in range(100, 200) for g in rnd.sample(range(395), 101)]
+    waits = [("r", t, 1, "op", g, g, g + n + 2, n, 2, rnd.choice([7, 7, 8, 9])) for t, g in starts for n in [rnd.choice([1, 3, 20, 150, 390])]]
+    names = "run_id string, task bigint, resource bigint, op string, since bigint, g0 bigint, g1 bigint, wait_ns bigint, lag_ns bigint, holder bigint"
+    got = {(r.task, r.g0): (r.polling_ns, r.parked_ns, r.parked_on) for r in latency.holder_activity(rec, spark.createDataFrame(waits, names), until).collect()}
+    episodes = [(r.task, r.id, r.resource, r.ts, r.ts + r.dur) for r in folds.park_episodes(rec, until).collect()]
+    want = {}
+    for _, task, _, _, _, g0, _, n, _, holder in waits:
+        met = lambda s, e: min(e, g0 + n) - max(s, g0)  # noqa: B023, E731
+        polling = [met(s, g0 + n if e is None else e) for _, t, s, e in polls if t == holder]
+        parked = [(met(s, e), -s, -i, res) for t, i, res, s, e in episodes if t == holder and met(s, e) > 0]
+        want[task, g0] = (sum(x for x in polling if x > 0), sum(p[0] for p in parked), max(parked)[3] if parked else None)
+    assert len(waits) > 10_000 and got == want
+
+
 def test_predict(world):
     rec, ends, scratch = world
     best, report = predict.predict(rec, ends, scratch)
