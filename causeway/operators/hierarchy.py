@@ -2,74 +2,172 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from causeway.scratch import Scratch
-from causeway.skew import hot_keys, salted_join, unit_rows
+from causeway.skew import hot_buckets, salted_join
 
 KEY = ["grp", "id"]
-#: Edges may hide at most 2**31 nodes; a contraction of that many nodes takes fewer rounds than this.
+#: A contraction of 2**31 nodes takes fewer rounds than this.
 MAX_ROUNDS = 400
+#: What became of a node: still there, spliced out of a chain, raked as a leaf, left as a core.
+STAY, SPLICE, RAKE, CORE = 0, 1, 2, 3
+#: Kinds of cores: a root, a parent that names no node, a node that became its own parent.
+ROOT, GHOST, CIRCLE = 0, 1, 2
+#: Up to so many active nodes, BATCH rounds are written as one table; a larger set after each round.
+SMALL, BATCH = 1_000_000, 4
+
+
+def _none() -> Column:
+    return F.lit(None).cast("bigint")
 
 
-def _children(active: DataFrame) -> DataFrame:
-    """Per parent with children other than itself: how many, and one of them."""
-    below = active.filter("parent is not null and parent <> id")
-    return below.groupBy("grp", F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("_kids"), F.min("id").alias("_kid"))
+def _fold(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """One row per node: every other column has one non-null value, its own."""
+    mine = [c for c in rows.columns if c not in KEY]
+    return rows.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in mine], *[c.alias(n) for n, c in sums.items()])
 
 
-def _round(active: DataFrame, number: int) -> DataFrame:
-    """One rake and one compression of the active nodes.
+def _send(rows: DataFrame, own: dict[str, Column], message: dict[str, Column], when: Column) -> DataFrame:
+    """Each row as it is and, where ``when`` holds, one message; both by the node they are meant for."""
+    names = [*own, *[c for c in message if c not in own]]
+    types = rows.select(*[own[n].alias(n) if n in own else message[n].alias(n) for n in names]).schema
+    side = lambda given: F.struct(*[given.get(n, F.lit(None)).cast(types[n].dataType).alias(n) for n in names])
+    both = F.array(side(own), F.when(when, side(message)))
+    return rows.select(F.explode(both).alias("_m")).filter("_m is not null").select("_m.*")
 
-    All of them come back with ``step``: ``rake`` and ``splice`` for those taken out, with the parent
-    they had, ``root`` for roots left alone, else ``stay``. Spliced nodes have a single child, named in ``child``, a parent other
-    than themselves, and a greater random priority than both, so that no two neighbours go at once.
+
+def _start(nodes: DataFrame, paths: bool) -> DataFrame:
+    """A row per node, and per id that is only named as a parent, with its number of children and one of them.
+
+    ``parent``, ``weight``, ``via`` and ``top`` describe the edge upwards: how many links it stands
+    for, the nodes it hides, from above, and the uppermost node on it below ``parent``.
     """
-    seen = active.join(_children(active), KEY, "left")
-    leaf = F.col("_kids").isNull() & F.col("parent").isNotNull() & (F.col("parent") != F.col("id"))
-    alone = F.col("_kids").isNull() & F.col("parent").isNull()
-    seen = seen.withColumn("_leaf", leaf).withColumn("_alone", alone).drop("_kids", "_kid")
-    raked = seen.filter("_leaf").drop("_leaf", "_alone")
-    alone = seen.filter("_alone").drop("_leaf", "_alone")
-    rest = seen.filter("not _leaf and not _alone").drop("_leaf", "_alone")
-    kept = rest.join(_children(rest), KEY, "left")
-    rank = lambda c: F.xxhash64(F.lit(number), F.col("grp"), F.col(c))
-    unary = (F.col("_kids") == 1) & (F.col("parent") != F.col("id"))
-    first = (rank("id") > rank("parent")) & (rank("id") > rank("_kid"))
-    kept = kept.withColumn("_splice", F.coalesce(unary & first, F.lit(False)))
-    spliced = kept.filter("_splice")
-    # each spliced node has one child, and a node one parent: both sides are unique
-    lifted = spliced.select("grp", F.col("_kid").alias("id"), F.col("id").alias("_over"), F.col("parent").alias("_up"), F.col("weight").alias("_add"), F.col("via").alias("_via"))
-    stay = kept.filter("not _splice").join(lifted, KEY, "left")
-    via = F.when(F.col("_up").isNull(), F.col("via")).otherwise(F.concat("_via", F.array("_over"), "via"))
-    hidden = F.when(F.col("via").isNotNull(), via)
-    stay = stay.select(*KEY, F.coalesce("_up", "parent").alias("parent"), (F.col("weight") + F.coalesce("_add", F.lit(0))).alias("weight"), hidden.alias("via"), F.lit(None).cast("bigint").alias("child"), F.lit("stay").alias("step"))
-    took = lambda df, child, step: df.select(*KEY, "parent", "weight", "via", child.cast("bigint").alias("child"), F.lit(step).alias("step"))
-    return stay.unionByName(took(spliced, F.col("_kid"), "splice")).unionByName(took(raked, F.lit(None), "rake")).unionByName(took(alone, F.lit(None), "root"))
-
-
-def _cores(left: DataFrame, paths: bool) -> DataFrame:
-    """What no step took out: roots, and nodes that have become their own parent."""
-    core = F.col("parent").isNotNull()
-    return left.select(
-        *KEY,
-        F.when(~core, F.col("id")).alias("root"),
-        F.when(~core, F.lit(0).cast("bigint")).alias("depth"),
-        (F.array("id") if paths else F.lit(None).cast("array<bigint>")).alias("path"),
-        F.when(core, "on_cycle").otherwise("rooted").alias("state"),
+    own = nodes.dropna(subset=KEY).groupBy(*KEY).agg(F.max("parent").alias("parent"))
+    told = _send(
+        own,
+        {"grp": F.col("grp"), "id": F.col("id"), "parent": F.col("parent"), "own": F.lit(1), "ping": F.lit(0), "from": _none()},
+        {"grp": F.col("grp"), "id": F.col("parent"), "own": F.lit(0), "ping": F.lit(1), "from": F.col("id")},
+        F.col("parent").isNotNull(),
     )
+    told = told.withColumn("ping", F.when(F.col("from") == F.col("id"), 0).otherwise(F.col("ping"))).withColumn("from", F.when(F.col("ping") == 1, F.col("from")))
+    first = _fold(told, {"kids": F.sum("ping"), "kid": F.min("from")}).drop("ping", "from")
+    first = first.select(
+        *KEY, F.col("parent").alias("origin"), "own", "parent", F.lit(1).cast("bigint").alias("weight"), F.col("id").alias("top"), "kids", "kid", F.lit(STAY).alias("step"), F.lit(0).alias("round")
+    )
+    return first.withColumn("via", F.array().cast("array<bigint>")) if paths else first
 
 
-def _place(taken: DataFrame, placed: DataFrame, hot: DataFrame | None, paths: bool) -> DataFrame:
-    """The taken-out nodes with what follows from their parents, which are placed already."""
-    above = placed.select("grp", F.col("id").alias("parent"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("state").alias("_state"))
-    found = salted_join(taken, above, ["grp", "parent"], hot, ["id"])
-    state = F.when(F.col("_state") == "rooted", "rooted").otherwise("below_cycle")
-    path = F.concat("_path", "via", F.array("id")) if paths else F.lit(None).cast("array<bigint>")
-    return found.select(
-        *KEY, F.col("_root").alias("root"), (F.col("_depth") + F.col("weight")).alias("depth"), path.alias("path"), state.alias("state"), "child"
+def _round(state: DataFrame, paths: bool) -> DataFrame:
+    """One compression and one raking of the nodes that stay; the others pass by.
+
+    Spliced nodes have a single child, a parent other than themselves, and a greater random rank
+    than both, so no two neighbours go at once; the child takes over the edge. Then leaves go, and
+    the nodes that stay are counted by their parents anew. So the parent of whatever was taken out
+    is there after the round. Children are counted and edges handed on by grouped aggregates, which
+    combine before the shuffle: a parent of very many children is no hot key.
+    """
+    rank = lambda c: F.xxhash64("round", "grp", c)
+    stays, linked = F.col("step") == STAY, F.col("parent").isNotNull() & (F.col("parent") != F.col("id"))
+    unary = stays & linked & (F.col("kids") == 1)
+    splice = unary & (rank("id") > rank("parent")) & (rank("id") > rank("kid"))
+    marked = state.withColumn("_now", F.coalesce(splice, F.lit(False))).withColumn("step", F.when(F.col("_now"), SPLICE).otherwise(F.col("step")))
+    lift = {"grp": F.col("grp"), "id": F.col("kid"), "_up": F.col("parent"), "_add": F.col("weight"), "_top": F.col("top")}
+    if paths:
+        lift |= {"_via": F.concat("via", F.array("id"))}
+    lifted = _fold(_send(marked, {c: F.col(c) for c in state.columns}, lift, F.col("_now")), {})
+    up = F.col("_up").isNotNull()
+    lifted = lifted.withColumn("weight", F.col("weight") + F.coalesce("_add", F.lit(0))).withColumn("top", F.coalesce("_top", "top")).withColumn("parent", F.coalesce("_up", "parent"))
+    if paths:
+        lifted = lifted.withColumn("via", F.when(up, F.concat("_via", "via")).otherwise(F.col("via")))
+    lifted = lifted.select(*state.columns)
+
+    bare = stays & (F.col("kids") == 0)
+    step = F.when(bare & linked, RAKE).when(bare, CORE).otherwise(F.col("step"))
+    raked = lifted.withColumn("step", step)
+    own = {c: F.col(c) for c in state.columns} | {"_ping": F.lit(0), "_from": _none()}
+    counted = _fold(
+        _send(raked, own, {"grp": F.col("grp"), "id": F.col("parent"), "_ping": F.lit(1), "_from": F.col("id")}, stays & linked), {"_kids": F.sum("_ping"), "_kid": F.min("_from")}
     )
+    mine = {"kids": F.when(stays, F.col("_kids")).otherwise(F.col("kids")), "kid": F.when(stays, F.col("_kid")).otherwise(F.col("kid")), "round": F.col("round") + F.when(stays, 1).otherwise(0)}
+    return counted.select(*[mine[c].alias(c) if c in mine else F.col(c) for c in state.columns])
+
+
+def _contract(start: DataFrame, scratch: Scratch, total: int, paths: bool) -> tuple[list[tuple[DataFrame, int]], int]:
+    """The records of all rounds, a table and its number of rounds each, and the number of circles."""
+    written, state, active, rounds, circles = [], start, total, 0, 0
+    while active:
+        if rounds >= MAX_ROUNDS:
+            raise RuntimeError("the contraction doesn't end")
+        batch = 1 if active > SMALL else BATCH
+        for _ in range(batch):
+            state = _round(state, paths)
+        seen = Observation()
+        core = (F.col("step") == CORE) & F.col("parent").isNotNull()
+        table = scratch.keep(state.observe(seen, F.count_if(F.col("step") == STAY).alias("active"), F.count_if(core).alias("circles")))
+        written.append((table, batch))
+        active, circles, rounds = seen.get["active"], circles + seen.get["circles"], rounds + batch
+        state = table.filter(F.col("step") == STAY)
+    return written, circles
+
+
+def _cores(written: list[tuple[DataFrame, int]], paths: bool) -> DataFrame:
+    every = reduce(DataFrame.unionByName, [t for t, _ in written]).filter(F.col("step") == CORE)
+    kind = F.when(F.col("parent").isNotNull(), CIRCLE).when(F.col("own") == 0, GHOST).otherwise(ROOT)
+    return every.select(*KEY, "origin", "own", F.col("id").alias("core"), kind.alias("kind"), F.lit(0).cast("bigint").alias("weight"), _none().alias("top"), *([F.array().cast("array<bigint>").alias("via")] if paths else []), _none().alias("kid"), "step")
+
+
+def _above(df: DataFrame, by: str, names: list[str]) -> DataFrame:
+    return df.select("grp", F.col("id").alias(by), *[F.col(c).alias(f"_{c}") for c in names])
+
+
+def _within(taken: DataFrame, rounds: int, paths: bool) -> DataFrame:
+    """The records of a batch with parents that outlast it: each step back passes two rounds, then four, ..."""
+    extra = ["via"] if paths else []
+    for _ in range((rounds - 1).bit_length()):
+        above = _above(taken, "parent", ["parent", "weight", "top", *extra])
+        # a batch of several rounds is small, and its joins need no broadcast through the driver
+        found = taken.join(above.hint("merge"), ["grp", "parent"], "left")
+        met = F.col("_parent").isNotNull()
+        taken = found.select(
+            *KEY, "origin", "own", F.coalesce("_parent", "parent").alias("parent"), (F.col("weight") + F.coalesce("_weight", F.lit(0))).alias("weight"), F.coalesce("_top", "top").alias("top"),
+            *([F.when(met, F.concat("_via", F.array("parent"), "via")).otherwise(F.col("via")).alias("via")] if paths else []), "kid", "step",
+        )
+    return taken
+
+
+def _place(taken: DataFrame, placed: DataFrame, hot, paths: bool) -> DataFrame:
+    """The records with what follows from their parents, which are placed already."""
+    above = _above(placed, "parent", ["core", "kind", "weight", "top", *(["via"] if paths else [])])
+    found = salted_join(taken, above if hot else above.hint("merge"), ["grp", "parent"], hot, ["id"])
+    over = F.when(F.col("parent") == F.col("_core"), F.array().cast("array<bigint>")).otherwise(F.array("parent"))
+    return found.select(
+        *KEY, "origin", "own", F.col("_core").alias("core"), F.col("_kind").alias("kind"), (F.col("weight") + F.col("_weight")).alias("weight"), F.coalesce("_top", "top").alias("top"),
+        *([F.concat("_via", over, "via").alias("via")] if paths else []), "kid", "step",
+    )
+
+
+def _on_circles(under: DataFrame, scratch: Scratch) -> DataFrame:
+    """(grp, id) of the nodes on circles, of those ``under`` cores that are their own parent.
+
+    A spliced node lies on the circle if the child it had does, which is a core, was spliced later
+    itself, or raked; so children are followed, doubling the steps, until a core or the end.
+    """
+    cores = under.filter(F.col("step") == CORE).select(*KEY, _none().alias("kid"), F.lit(True).alias("on"))
+    known = scratch.keep(cores.unionByName(under.filter(F.col("step") == SPLICE).select(*KEY, "kid", F.lit(None).cast("boolean").alias("on"))))
+    for _ in range(MAX_ROUNDS):
+        seen = Observation()
+        below = known.select("grp", F.col("id").alias("kid"), F.col("kid").alias("_kid"), F.col("on").alias("_on"), F.lit(True).alias("_met"))
+        moved = known.filter("on is null").join(below.hint("merge"), ["grp", "kid"], "left")
+        moved = moved.select(*KEY, F.col("_kid").alias("kid"), F.when(F.col("_met").isNull(), False).otherwise(F.col("_on")).alias("on"))
+        before, known = known, scratch.keep(known.filter("on is not null").unionByName(moved).observe(seen, F.count_if(F.col("on").isNull()).alias("open")))
+        scratch.drop(before)
+        if not seen.get["open"]:
+            return known.filter("on").select(*KEY)
+    raise RuntimeError("a chain of children doesn't end")
 
 
 def hierarchy(nodes: DataFrame, scratch: Scratch, total: int, *, paths: bool = True) -> DataFrame:
@@ -78,73 +176,54 @@ def hierarchy(nodes: DataFrame, scratch: Scratch, total: int, *, paths: bool = T
     Trees are separate per ``grp``. ``state`` is ``rooted`` (depth 0 for a node whose parent is null
     or names no node), ``on_cycle`` or ``below_cycle``; only rooted nodes have a root, a depth and a
     path (root first, the node last). ``hangs`` is the same for a ``below_cycle`` node, from the
-    circle node it hangs from. Without ``paths``, both are null, and so is the root in a tree whose
-    topmost node names a missing parent.
+    circle node it hangs from. Without ``paths``, both are null.
 
-    Rounds of leaf raking and unary-chain compression shrink the forest, each recording what it took
-    out and from where, until only roots and nodes that are their own parent are left: the latter are
-    the cores of cycles. Then the records are read backwards: a raked node follows its parent; a
-    spliced one its parent too, unless its only child turned out to lie on a cycle, for then it does.
-    Records and active nodes are tables in the scratch folder, as is the result; the number of rounds
-    grows with the logarithm of the number of nodes.
+    Rounds of unary-chain compression and leaf raking shrink the forest, each recording what it took
+    out and from where, until only cores are left: roots, and nodes that are their own parent, which
+    expose circles. Then the records are read backwards, from the last round to the first: a node
+    follows the parent it had when it was taken out, which is placed by then. Records are tables in
+    the scratch folder; the number of rounds grows with the logarithm of the number of nodes, and the
+    last rounds, of few nodes, share tables. ``total`` is about the number of rows.
 
     Rows with a null id are left out, a null ``grp`` is not allowed. Of differing copies of a node
     the greatest non-null parent holds. An empty table gives no rows.
     """
-    own = nodes.dropna(subset=KEY).groupBy(*KEY).agg(F.max("parent").alias("parent"))
-    # a parent that is no node becomes one for as long as the contraction runs
-    known = own.select(*KEY, "parent", F.lit(1).alias("_own"))
-    named = nodes.dropna(subset=[*KEY, "parent"]).select("grp", F.col("parent").alias("id"), F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("_own"))
-    real = known.unionByName(named).groupBy(*KEY).agg(F.max("parent").alias("parent"), F.max("_own").alias("_own"))
-    none = F.array().cast("array<bigint>") if paths else F.lit(None).cast("array<bigint>")
-    start = real.select(*KEY, "parent", F.lit(1).cast("bigint").alias("weight"), none.alias("via"), F.lit(None).cast("bigint").alias("child"), F.lit("stay").alias("step"), "_own")
-    start = scratch.keep(start)
-    # no parent gets more children than it has at the start
-    hot = scratch.keep(hot_keys(start.select("grp", "parent"), ["grp", "parent"], unit_rows(total)))
-    hot = None if hot.isEmpty() else hot
-
-    rounds: list[DataFrame] = []
-    active = start.drop("_own", "step", "child")
-    while not active.filter("parent <> id").isEmpty():
-        if len(rounds) >= MAX_ROUNDS:
-            raise RuntimeError("the contraction doesn't end")
-        rounds.append(scratch.keep(_round(active, len(rounds))))
-        active = rounds[-1].filter("step = 'stay'").drop("step", "child")
-    placed = _cores(active, paths)
-    before = None
-    for taken in reversed(rounds):
-        placed = placed.unionByName(_cores(taken.filter("step = 'root'"), paths))
-        spliced = _place(taken.filter("step = 'splice'").drop("step"), placed, hot, paths)
-        below = placed.select("grp", F.col("id").alias("child"), F.col("state").alias("_child_state"))
-        spliced = spliced.join(below, ["grp", "child"], "left").withColumn("state", F.when(F.col("_child_state") == "on_cycle", "on_cycle").otherwise(F.col("state")))
-        if paths:  # below a circle, paths begin at the circle node
-            spliced = spliced.withColumn("path", F.when(F.col("state") == "on_cycle", F.array("id")).otherwise(F.col("path")))
-        placed = placed.unionByName(spliced.drop("child", "_child_state"))
-        raked = _place(taken.filter("step = 'rake'").drop("step"), placed, hot, paths).drop("child")
-        placed = scratch.keep(placed.unionByName(raked))
-        if before is not None:
-            scratch.drop(before)
-        before = placed
-        scratch.drop(taken)
-    # without the nodes that aren't: trees below one of them start a step lower
-    owned = start.select(*KEY, "parent", "_own")
-    full = placed.join(owned, KEY)
-    ghosts = owned.filter("_own = 0").select("grp", F.col("id").alias("root"), F.lit(True).alias("_ghost"))
-    ghost_hot = hot_keys(placed.select("grp", "root"), ["grp", "root"], unit_rows(total))
-    full = salted_join(full.filter("_own = 1 and root is not null"), ghosts, ["grp", "root"], ghost_hot, ["id"], "left").unionByName(
-        full.filter("_own = 1 and root is null").withColumn("_ghost", F.lit(None).cast("boolean"))
-    )
-    ghost = F.col("_ghost").isNotNull()
-    path = F.when(ghost, F.slice("path", 2, F.greatest(F.lit(1), F.size("path") - 1))).otherwise(F.col("path"))
-    return full.select(
-        *KEY,
-        "parent",
-        F.when(ghost, F.get("path", F.lit(1))).otherwise(F.col("root")).alias("root"),
-        (F.col("depth") - F.when(ghost, 1).otherwise(0)).alias("depth"),
-        F.when(F.col("state") == "rooted", path).alias("path"),
-        F.when(F.col("state") == "below_cycle", F.col("path")).alias("hangs"),
-        "state",
-    )
+    start = scratch.keep(_start(nodes.select(*KEY, "parent"), paths))
+    written, circles = _contract(start, scratch, total, paths)
+    if not written:
+        written = [(start.filter("false"), 1)]
+    # no parent gets more children than it has at the start, and a batch of rounds holds no hot one
+    hot = hot_buckets(start.filter("origin is not null").select("grp", F.col("origin").alias("parent")), ["grp", "parent"], total)
+    if hot is not None:
+        hot.table = scratch.keep(hot.table)
+    placed = [_cores(written, paths)]
+    for table, rounds in reversed(written):
+        taken = table.filter(F.col("step").isin(SPLICE, RAKE)).select(*KEY, "origin", "own", "parent", "weight", "top", *(["via"] if paths else []), "kid", "step")
+        placed.append(scratch.keep(_place(_within(taken, rounds, paths), reduce(DataFrame.unionByName, placed), hot, paths)))
+    every = reduce(DataFrame.unionByName, placed).filter("own = 1")
+
+    ghost = F.col("kind") == GHOST
+    none = F.lit(None).cast("array<bigint>")
+    path = F.concat(F.when(ghost, F.array().cast("array<bigint>")).otherwise(F.array("core")), "via", F.when(F.col("id") == F.col("core"), F.array().cast("array<bigint>")).otherwise(F.array("id"))) if paths else none
+    rooted = every.filter(F.col("kind") != CIRCLE).select(
+        *KEY, F.col("origin").alias("parent"), F.when(ghost, F.col("top")).otherwise(F.col("core")).alias("root"), (F.col("weight") - F.when(ghost, 1).otherwise(0)).alias("depth"),
+        path.alias("path"), none.alias("hangs"), F.lit("rooted").alias("state"),
+    )
+    if not circles:
+        return rooted
+    under = every.filter(F.col("kind") == CIRCLE)
+    on = _on_circles(under, scratch).withColumn("_on", F.lit(True))
+    lost = under.join(on.hint("merge"), KEY, "left").select(*KEY, "origin", "core", "kind", "_on", *(["via"] if paths else []))
+    if paths:
+        # the way down from the core begins on the circle: what follows its last node there hangs
+        steps = lost.filter("_on is null").select(*KEY, path.alias("_way")).select(*KEY, "_way", F.posexplode("_way").alias("_at", "_step"))
+        last = steps.join(on.select("grp", F.col("id").alias("_step")).hint("merge"), ["grp", "_step"]).groupBy(*KEY).agg(F.max("_at").alias("_at"), F.first("_way").alias("_way"))
+        hangs = last.select(*KEY, F.slice("_way", F.col("_at") + 1, F.size("_way")).alias("hangs"))
+        lost = lost.join(hangs.hint("merge"), KEY, "left")
+    else:
+        lost = lost.withColumn("hangs", none)
+    state = F.when(F.col("_on"), "on_cycle").otherwise("below_cycle")
+    return rooted.unionByName(lost.select(*KEY, F.col("origin").alias("parent"), _none().alias("root"), _none().alias("depth"), none.alias("path"), "hangs", state.alias("state")))
 
 
 def descendants(placed: DataFrame) -> DataFrame:

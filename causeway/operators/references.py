@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.skew import hot_keys, salted_join, unit_rows
+from causeway.skew import hot_buckets, salted_join
 
 
 def broken_references(
@@ -29,7 +29,7 @@ def broken_references(
     named = facts.groupBy("_ref").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
     orphans = named.join(known, "_ref", "left_anti").select("_ref", F.lit(True).alias("_missing"), F.lit(None).cast("bigint").alias("_since"), F.lit(None).cast("bigint").alias("_until"))
     timed = named.join(known, "_ref").filter("_last > _until or _first < _since").select("_ref", F.lit(False).alias("_missing"), "_since", "_until")
-    hot = hot_keys(facts, ["_ref"], unit_rows(total))
+    hot = hot_buckets(facts, ["_ref"], total)
     found = salted_join(facts, orphans.union(timed), ["_ref"], hot, ["row_id"])
     reason = F.when(F.col("_missing"), "missing").when(F.col("ts") > F.col("_until"), "ended").when(F.col("ts") < F.col("_since"), "not_yet")
     return found.select("row_id", "ts", reason.alias("reason")).filter("reason is not null").distinct()

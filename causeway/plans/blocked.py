@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from causeway.plans.folds import AT, latest_parks, resource_holder, task_status
 from causeway.recording import Recording
 from causeway.scratch import Scratch
-from causeway.skew import hot_keys, salted_join, unit_rows
+from causeway.skew import hot_buckets, salted_join
 
 #: Doublings of a chain's known length; 2**40 links are more than any recording has.
 MAX_ROUNDS = 40
@@ -20,7 +20,7 @@ def wait_for(rec: Recording, instants: DataFrame) -> DataFrame:
     links = latest_parks(rec, parked)
     held = resource_holder(rec, instants)
     # one row per resource on one side, hot resources on the other
-    hot = hot_keys(links, [*AT, "resource"], unit_rows(rec.total("tasks")))
+    hot = hot_buckets(links, [*AT, "resource"], rec.total("tasks"))
     links = salted_join(links, held, [*AT, "resource"], hot, ["task"], "left")
     return links.select(*AT, "task", "resource", "op", "since", F.greatest(F.lit(0), F.col("at") - F.col("since")).alias("wait_ns"), "holder", "spawn_ts", "visible")
 
@@ -34,13 +34,12 @@ def chains(links: DataFrame, scratch: Scratch, total: int) -> DataFrame:
     rounds as the logarithm of the longest chain.
     """
     links = scratch.keep(links)
-    unit = unit_rows(total)
     paths = links.select(*AT, "task", F.array("task").alias("chain"), F.col("holder").alias("next"), F.lit(False).alias("done"))
     for _ in range(MAX_ROUNDS):
         # rows go on while their next one is parked and new to the chain
         step = paths.select(*AT, F.col("task").alias("next"), F.col("chain").alias("_chain"), F.col("next").alias("_next"))
         open_rows = paths.filter("not done and next is not null and not array_contains(chain, next)")
-        hot = hot_keys(open_rows, [*AT, "next"], unit) if total > unit else None
+        hot = hot_buckets(open_rows, [*AT, "next"], total)
         joined = salted_join(open_rows, step, [*AT, "next"], hot, ["task"], "left")
         both = F.concat("chain", "_chain")
         # cut before the first task met twice

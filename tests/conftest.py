@@ -31,10 +31,14 @@ def spark():
 @pytest.fixture
 def small_units(monkeypatch):
     """Keys count as hot from three rows on, so that shards and salts are used on small inputs."""
-    import causeway.operators.hierarchy
-    import causeway.operators.references
-    import causeway.plans.blocked
     import causeway.skew
 
-    for module in (causeway.skew, causeway.operators.hierarchy, causeway.operators.references, causeway.plans.blocked):
-        monkeypatch.setattr(module, "unit_rows", lambda total, floor=0: 3)
+    monkeypatch.setattr(causeway.skew, "unit_rows", lambda total, floor=0: 3)
+
+
+@pytest.fixture
+def small_ranges(small_units, monkeypatch):
+    """The same, with more units than may be broadcast, so that tables are cut by ranges."""
+    import causeway.skew
+
+    monkeypatch.setattr(causeway.skew, "MAX_CUTS", 4)

@@ -46,10 +46,10 @@ def test_features(spark):
         entity_features(tasks, parks, [str(k) for k in range(5000)])
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [None, "small_units", "small_ranges"])
 def test_references(spark, request, small):
     if small:
-        request.getfixturevalue("small_units")
+        request.getfixturevalue(small)
     parents = spark.createDataFrame([(1, 10, None, "x"), (1, 10, 50, "y"), (2, 0, None, "z"), (None, 0, 1, "")], "id bigint, since bigint, until bigint, reason string")
     facts = [(k, 1, ts) for k, ts in enumerate([9, 10, 50, 51, None, 30])] + [(10, 7, 1), (10, 7, 1), (11, None, 1), (12, 2, -5), (None, 7, 1), (13, 7, None)]
     refs = spark.createDataFrame([(*f, "q") for f in facts], "id bigint, ref bigint, ts bigint, reason string")
@@ -78,10 +78,10 @@ def test_tree_aggregate(spark):
     assert [r.key_value for r in held.collect()] == [1]
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [None, "small_units", "small_ranges"])
 def test_order_within_key(spark, request, small):
     if small:
-        request.getfixturevalue("small_units")
+        request.getfixturevalue(small)
     rnd = random.Random(1)
     data = [(k, rnd.choice([1, 1, 1, 2, 3]), rnd.choice([None, 1, 2, 2, 2, 5, 9])) for k in range(200)] + [(500, None, 1), (None, 1, 1)]
     df = spark.createDataFrame(data + data[:20], "id bigint, key bigint, ts bigint")
@@ -121,10 +121,10 @@ def brute_tree(nodes):
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [None, "small_units", "small_ranges"])
 def test_hierarchy(spark, request, small):
     if small:
-        request.getfixturevalue("small_units")
+        request.getfixturevalue(small)
     rnd = random.Random(3)
     nodes = {k: (None if k < 2 else rnd.randrange(k)) for k in range(40)}
     nodes |= {k: k - 1 for k in range(101, 130)} | {100: None}  # a chain
@@ -141,10 +141,10 @@ def test_hierarchy(spark, request, small):
     assert rows(hierarchy(df.limit(0), Scratch(spark), 0)) == []
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [None, "small_units", "small_ranges"])
 def test_hanging(spark, request, small):
     if small:
-        request.getfixturevalue("small_units")
+        request.getfixturevalue(small)
     rnd = random.Random(4)
     nodes = {1: 3, 2: 1, 3: 2, 4: 4, 5: 6, 6: 5}  # circles of three, one and two
     nodes |= {10: 1, 11: 10, 20: 4, 30: None, 31: 30}
@@ -181,11 +181,11 @@ def brute_periods(data):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [None, "small_units", "small_ranges"])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_intervals(spark, request, small, seed):
     if small:
-        request.getfixturevalue("small_units")
+        request.getfixturevalue(small)
     rnd = random.Random(seed)
     data = []
     for k in range(150):
