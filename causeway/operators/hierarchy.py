@@ -20,80 +20,75 @@ ROOT, GHOST, CIRCLE = 0, 1, 2
 #: Up to so many active nodes, BATCH rounds are written as one table; a larger set after each round.
 SMALL, BATCH = 1_000_000, 4
 
+#: An edge that hides nothing yet.
+_VIA = ", CAST(array() AS array<bigint>) AS via"
+
 
 def _none() -> Column:
     return F.lit(None).cast("bigint")
 
 
-def _fold(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """One row per node: every other column has one non-null value, its own."""
-    mine = [c for c in rows.columns if c not in KEY]
-    return rows.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in mine], *[c.alias(n) for n, c in sums.items()])
-
-
-def _send(rows: DataFrame, own: dict[str, Column], message: dict[str, Column], when: Column) -> DataFrame:
-    """Each row as it is and, where ``when`` holds, one message; both by the node they are meant for."""
-    names = [*own, *[c for c in message if c not in own]]
-    types = rows.select(*[own[n].alias(n) if n in own else message[n].alias(n) for n in names]).schema
-    side = lambda given: F.struct(*[given.get(n, F.lit(None)).cast(types[n].dataType).alias(n) for n in names])
-    both = F.array(side(own), F.when(when, side(message)))
-    return rows.select(F.explode(both).alias("_m")).filter("_m is not null").select("_m.*")
-
-
 def _start(nodes: DataFrame, paths: bool) -> DataFrame:
     """A row per node, and per id that is only named as a parent, with its number of children and one of them.
 
     ``parent``, ``weight``, ``via`` and ``top`` describe the edge upwards: how many links it stands
     for, the nodes it hides, from above, and the uppermost node on it below ``parent``.
     """
-    own = nodes.dropna(subset=KEY).groupBy(*KEY).agg(F.max("parent").alias("parent"))
-    told = _send(
-        own,
-        {"grp": F.col("grp"), "id": F.col("id"), "parent": F.col("parent"), "own": F.lit(1), "ping": F.lit(0), "from": _none()},
-        {"grp": F.col("grp"), "id": F.col("parent"), "own": F.lit(0), "ping": F.lit(1), "from": F.col("id")},
-        F.col("parent").isNotNull(),
-    )
-    told = told.withColumn("ping", F.when(F.col("from") == F.col("id"), 0).otherwise(F.col("ping"))).withColumn("from", F.when(F.col("ping") == 1, F.col("from")))
-    first = _fold(told, {"kids": F.sum("ping"), "kid": F.min("from")}).drop("ping", "from")
-    first = first.select(
-        *KEY, F.col("parent").alias("origin"), "own", "parent", F.lit(1).cast("bigint").alias("weight"), F.col("id").alias("top"), "kids", "kid", F.lit(STAY).alias("step"), F.lit(0).alias("round")
+    return nodes.sparkSession.sql(
+        f"""
+WITH own AS (SELECT grp, id, max(parent) AS parent FROM {{nodes}} WHERE grp IS NOT NULL AND id IS NOT NULL GROUP BY grp, id),
+told AS (SELECT inline(array(
+    named_struct('grp', grp, 'id', id, 'parent', parent, 'own', 1, 'ping', 0, 'child', CAST(NULL AS BIGINT)),
+    named_struct('grp', grp, 'id', parent, 'parent', NULL, 'own', 0, 'ping', int(parent <> id), 'child', CASE WHEN parent <> id THEN id END)
+  )) FROM own)
+SELECT grp, id, max(parent) AS origin, max(own) AS own, max(parent) AS parent, 1L AS weight, id AS top, sum(ping) AS kids, min(child) AS kid, {STAY} AS step, 0 AS round{_VIA if paths else ""}
+FROM told WHERE id IS NOT NULL GROUP BY grp, id""",
+        nodes=nodes,
     )
-    return first.withColumn("via", F.array().cast("array<bigint>")) if paths else first
 
 
-def _round(state: DataFrame, paths: bool) -> DataFrame:
-    """One compression and one raking of the nodes that stay; the others pass by.
+#: What describes a node besides its edge upwards and its children.
+_OWN = ["origin", "own", "step", "round"]
+
+
+def _rounds(state: DataFrame, count: int, paths: bool) -> DataFrame:
+    """``count`` rounds of one compression and one raking of the nodes that stay; the others pass by.
 
     Spliced nodes have a single child, a parent other than themselves, and a greater random rank
     than both, so no two neighbours go at once; the child takes over the edge. Then leaves go, and
     the nodes that stay are counted by their parents anew. So the parent of whatever was taken out
     is there after the round. Children are counted and edges handed on by grouped aggregates, which
-    combine before the shuffle: a parent of very many children is no hot key.
+    combine before the shuffle: a parent of very many children is no hot key. A round is two of them,
+    without a join, so several in a row are still a plan without branches.
     """
-    rank = lambda c: F.xxhash64("round", "grp", c)
-    stays, linked = F.col("step") == STAY, F.col("parent").isNotNull() & (F.col("parent") != F.col("id"))
-    unary = stays & linked & (F.col("kids") == 1)
-    splice = unary & (rank("id") > rank("parent")) & (rank("id") > rank("kid"))
-    marked = state.withColumn("_now", F.coalesce(splice, F.lit(False))).withColumn("step", F.when(F.col("_now"), SPLICE).otherwise(F.col("step")))
-    lift = {"grp": F.col("grp"), "id": F.col("kid"), "_up": F.col("parent"), "_add": F.col("weight"), "_top": F.col("top")}
-    if paths:
-        lift |= {"_via": F.concat("via", F.array("id"))}
-    lifted = _fold(_send(marked, {c: F.col(c) for c in state.columns}, lift, F.col("_now")), {})
-    up = F.col("_up").isNotNull()
-    lifted = lifted.withColumn("weight", F.col("weight") + F.coalesce("_add", F.lit(0))).withColumn("top", F.coalesce("_top", "top")).withColumn("parent", F.coalesce("_up", "parent"))
-    if paths:
-        lifted = lifted.withColumn("via", F.when(up, F.concat("_via", "via")).otherwise(F.col("via")))
-    lifted = lifted.select(*state.columns)
-
-    bare = stays & (F.col("kids") == 0)
-    step = F.when(bare & linked, RAKE).when(bare, CORE).otherwise(F.col("step"))
-    raked = lifted.withColumn("step", step)
-    own = {c: F.col(c) for c in state.columns} | {"_ping": F.lit(0), "_from": _none()}
-    counted = _fold(
-        _send(raked, own, {"grp": F.col("grp"), "id": F.col("parent"), "_ping": F.lit(1), "_from": F.col("id")}, stays & linked), {"_kids": F.sum("_ping"), "_kid": F.min("_from")}
-    )
-    mine = {"kids": F.when(stays, F.col("_kids")).otherwise(F.col("kids")), "kid": F.when(stays, F.col("_kid")).otherwise(F.col("kid")), "round": F.col("round") + F.when(stays, 1).otherwise(0)}
-    return counted.select(*[mine[c].alias(c) if c in mine else F.col(c) for c in state.columns])
+    edge = ["parent", "weight", "top", *(["via"] if paths else [])]
+    mine = [*_OWN, *edge, "kids", "kid"]
+    lift = {"up": "parent", "add": "weight", "over": "top", **({"hid": "concat(via, array(id))"} if paths else {})}
+    fields = lambda names, given: "named_struct('grp', grp, " + ", ".join(f"'{n}', {given.get(n, 'NULL')}" for n in names) + ")"
+    kept = lambda names: ", ".join(f"max({n}) AS {n}" for n in names)
+    itself = {n: n for n in ["id", *mine]}
+    first, second = ["id", *mine, *lift], ["id", *mine, "ping", "child"]
+    rank = lambda c: f"xxhash64(round, grp, {c})"
+    stays, linked = f"step = {STAY}", "parent IS NOT NULL AND parent <> id"
+    parts = []
+    for k in range(count):
+        parts += [
+            f"m{k} AS (SELECT *, coalesce({stays} AND {linked} AND kids = 1 AND {rank('id')} > {rank('parent')} AND {rank('id')} > {rank('kid')}, false) AS goes FROM {f's{k}' if k else '{state}'})",
+            f"""e{k} AS (SELECT inline(filter(array(
+    {fields(first, {**itself, "step": f"CASE WHEN goes THEN {SPLICE} ELSE step END"})},
+    CASE WHEN goes THEN {fields(first, {"id": "kid", **lift})} END), x -> x IS NOT NULL)) FROM m{k})""",
+            f"f{k} AS (SELECT grp, id, {kept([*mine, *lift])} FROM e{k} GROUP BY grp, id)",
+            f"""l{k} AS (SELECT grp, id, origin, own, coalesce(up, parent) AS parent, weight + coalesce(add, 0) AS weight, coalesce(over, top) AS top, {"CASE WHEN up IS NULL THEN via ELSE concat(hid, via) END AS via, " if paths else ""}
+    kids, kid, step, round FROM f{k})""",
+            f"""d{k} AS (SELECT *, CASE WHEN {stays} AND kids = 0 AND {linked} THEN {RAKE} WHEN {stays} AND kids = 0 THEN {CORE} ELSE step END AS now FROM l{k})""",
+            f"""c{k} AS (SELECT inline(filter(array(
+    {fields(second, {**itself, "step": "now", "ping": "0L"})},
+    CASE WHEN now = {STAY} AND {linked} THEN {fields(second, {"id": "parent", "ping": "1L", "child": "id"})} END), x -> x IS NOT NULL)) FROM d{k})""",
+            f"g{k} AS (SELECT grp, id, {kept(mine)}, sum(ping) AS pings, min(child) AS child FROM c{k} GROUP BY grp, id)",
+            f"""s{k + 1} AS (SELECT grp, id, origin, own, {", ".join(edge)}, CASE WHEN {stays} THEN pings ELSE kids END AS kids, CASE WHEN {stays} THEN child ELSE kid END AS kid, step,
+    CASE WHEN {stays} THEN round + 1 ELSE round END AS round FROM g{k})""",
+        ]
+    return state.sparkSession.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM s{count}", state=state)
 
 
 def _contract(start: DataFrame, scratch: Scratch, total: int, paths: bool) -> tuple[list[tuple[DataFrame, int]], int]:
@@ -103,11 +98,9 @@ def _contract(start: DataFrame, scratch: Scratch, total: int, paths: bool) -> tu
         if rounds >= MAX_ROUNDS:
             raise RuntimeError("the contraction doesn't end")
         batch = 1 if active > SMALL else BATCH
-        for _ in range(batch):
-            state = _round(state, paths)
         seen = Observation()
-        core = (F.col("step") == CORE) & F.col("parent").isNotNull()
-        table = scratch.keep(state.observe(seen, F.count_if(F.col("step") == STAY).alias("active"), F.count_if(core).alias("circles")))
+        tell = [F.expr(f"count_if(step = {STAY}) AS active"), F.expr(f"count_if(step = {CORE} AND parent IS NOT NULL) AS circles")]
+        table = scratch.keep(_rounds(state, batch, paths).observe(seen, *tell))
         written.append((table, batch))
         active, circles, rounds = seen.get["active"], circles + seen.get["circles"], rounds + batch
         state = table.filter(F.col("step") == STAY)
