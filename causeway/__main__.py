@@ -29,9 +29,11 @@ def load(spark: SparkSession, paths: list[str], mode: str, scratch: Scratch) ->
 
 
 def resolve_task(rec: Recording, name: str) -> DataFrame:
-    """(run_id, task): the task of that id, if there is one, else the first spawned of that name."""
+    """(run_id, task): the task of that id, if there is one, else the first spawned of that name; an error if no run has any."""
     number = int(name) if name.lstrip("-").isdigit() else None
     hit = rec.tasks.filter((F.col("id") == number) | (F.col("name") == name) if number is not None else F.col("name") == name)
+    if hit.isEmpty():
+        raise ValueError(f"no task of id or name {name}")
     rank = F.struct((F.col("id") != number) if number is not None else F.lit(False), "spawn_ts", "id")
     return hit.groupBy("run_id").agg(F.min_by("id", rank).alias("task"))
 

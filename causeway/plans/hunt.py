@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from causeway.functions.labels import resource_label
 from causeway.plans.folds import ends_of
 from causeway.plans.lint import circles
-from causeway.plans.predict import predicted_cycles
+from causeway.plans.predict import predict
 from causeway.recording import Recording
 from causeway.scratch import Scratch
 
@@ -24,9 +24,11 @@ def _keyed(rec: Recording, cycles: DataFrame, column: str) -> DataFrame:
 def hunt_cycles(rec: Recording, scratch: Scratch) -> DataFrame:
     """(key, observed, predicted, observed_runs, predicted_runs, first_run): each cycle over all runs, most observed first when sorted so."""
     ends = scratch.keep(ends_of(rec))
-    seen = _keyed(rec, circles(rec, ends, scratch), "resources").withColumn("seen", F.lit(True))
-    cycles, _ = predicted_cycles(rec, ends, scratch)
-    foreseen = _keyed(rec, cycles.filter("outcome = 'valid'"), "path").withColumn("seen", F.lit(False))
+    seen = _keyed(rec, circles(rec, ends, scratch), "resources")
+    best = scratch.keep(predict(rec, ends, scratch)[0])
+    # a foreseen cycle that is a deadlock at the run's end counts as seen only
+    seen = seen.unionByName(_keyed(rec, best.filter("observed"), "path")).distinct().withColumn("seen", F.lit(True))
+    foreseen = _keyed(rec, best.filter("not observed"), "path").withColumn("seen", F.lit(False))
     both = seen.unionByName(foreseen)
     runs = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("run_id")))), ",")
     return both.groupBy("key").agg(

@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.operators.tree_aggregate import order_within_key
 from causeway.plans.folds import hold_intervals, without_timers
 from causeway.plans.lint import circles
 from causeway.recording import Recording
 from causeway.schema import HOLDER_FIELD
 from causeway.scratch import Scratch
+from causeway.skew import carry, shard_cuts
 
 MAX_CYCLE_LEN = 4
 MAX_CYCLES = 16
@@ -27,35 +29,72 @@ def attempts(rec: Recording, until: DataFrame) -> DataFrame:
     return got.unionByName(tried).join(F.broadcast(until), "run_id").filter("ts <= at").drop("at")
 
 
-def held_at(tries: DataFrame, holds: DataFrame) -> DataFrame:
-    """``tries`` with ``held``: the other resources its task held then (taken strictly before, let go strictly after), where there are any.
+def versions(tries: DataFrame, holds: DataFrame, total: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``tries`` with ``v``, and ``holds`` (run_id, task, held, first, after): what a task holds is numbered.
 
-    Holds fall into time bins of a width, a power of 8, not below their length: at most two bins
-    each. A try looks into its bin of each width in use, at most 21, so candidates stay near the
-    true pairs and no task's tries meet all of its holds.
+    The number rises when the task takes a lock and when it lets one go; a hold is there for the
+    numbers from ``first`` up to, not with, ``after``, so a try lies within it if its number does.
+    Of one instant, ends come first, then tries, then begins: holds are taken strictly before a try
+    and let go strictly after it. All rows of a task are ordered once, hot tasks in shards.
     """
-    length = F.greatest(F.lit(1), F.col("end_ts") - F.col("start_ts"))
-    sized = holds.filter("end_ts > start_ts").withColumn("_level", F.floor(F.log2(length.cast("double")) / 3).cast("int") + 1)
-    widths = sorted(r[0] for r in sized.select("_level").distinct().collect())
-    width = F.expr("shiftleft(1L, _level * 3)")
-    first, last = F.floor(F.col("start_ts") / width), F.floor(F.col("end_ts") / width)
-    binned = sized.select(*TASK, F.col("resource").alias("_held"), "start_ts", "end_ts", "_level", F.explode(F.array_distinct(F.array(first, last))).alias("_bin"))
-    asked = tries.join(holds.select(*TASK).distinct(), TASK, "left_semi").withColumn("_level", F.explode(F.array(*map(F.lit, widths or [1]))))
-    asked = asked.withColumn("_bin", F.floor(F.col("ts") / width))
-    pairs = asked.join(binned, [*TASK, "_level", "_bin"]).filter("start_ts < ts and end_ts > ts and _held <> resource")
-    return pairs.groupBy(*tries.columns).agg(F.array_sort(F.collect_set("_held")).alias("held"))
-
-
-def witnesses(rec: Recording, until: DataFrame) -> DataFrame:
-    """(run_id, held, resource, task, ts, op, gate, turn): per order of two locks and task the earliest try that shows it.
-
-    ``gate`` is all the task held then; ``turn`` is its place among the edge's witnesses, by first try.
+    spans = holds.filter("end_ts > start_ts and task is not null")
+    payload = F.struct("resource", "op", "ts", "ord", "id")
+    asked = tries.select(*TASK, F.col("ts").alias("t"), F.lit(1).alias("rank"), F.col("id").alias("no"), F.col("resource").alias("lock"), payload.alias("p"))
+    sides = F.expr("inline(array(named_struct('t', end_ts, 'rank', 0), named_struct('t', start_ts, 'rank', 2)))")
+    marks = spans.select(*TASK, F.col("id").alias("no"), F.col("resource").alias("lock"), sides)
+    marks = marks.select(*TASK, "t", "rank", "no", "lock", F.lit(None).cast(asked.schema["p"].dataType).alias("p"))
+    # written, as the rows are read for their hot tasks, their cuts and by themselves
+    rows = scratch.keep(asked.filter("task is not null").unionByName(marks))
+    place = ["t", "rank", "no", "lock"]
+    cuts = shard_cuts(rows, TASK, place, total)
+    steps = (F.col("rank") != 1).cast("bigint")
+    rows = carry(rows, cuts, TASK, place, F.sum(steps), F.sum("_sum"))
+    w = Window.partitionBy(*TASK, "_shard").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("v", F.coalesce("_carry", F.lit(0)) + F.sum(steps).over(w))
+    rows = scratch.keep(rows.drop("_carry", "_shard", "_hot"))
+    found = rows.filter("rank = 1").select(*TASK, "v", "p.*")
+    # a lock's holds follow each other, so a hold's own two marks are told apart by its place in the log
+    held = rows.filter("rank <> 1").groupBy(*TASK, F.col("lock").alias("held"), "no").agg(F.max(F.when(F.col("rank") == 2, F.col("v"))).alias("first"), F.max(F.when(F.col("rank") == 0, F.col("v"))).alias("after"))
+    return found, held.select(*TASK, "held", "first", "after")
+
+
+def _meet(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """``asked`` (run_id, task, v, ...) with each ``held`` of its task at that number.
+
+    Holds fall into bins of a width, a power of 8, not below their length: at most two bins each. A
+    number looks into its bin of each width, at most 21, so candidates stay near the true pairs, and
+    no task's tries meet all of its holds.
     """
-    tries = held_at(attempts(rec, until), hold_intervals(rec, until))
-    shown = tries.withColumn("_held", F.explode("held"))
-    turn = F.struct("ord", F.when(F.col("ord") == 0, F.col("ts")).otherwise(F.col("id")).alias("a"), "id")
-    best = shown.withColumn("turn", turn).groupBy("run_id", F.col("_held").alias("_from"), "resource", "task").agg(F.min(F.struct("ts", "turn", "op", "held")).alias("_w"), F.min("turn").alias("turn"))
-    return best.select("run_id", F.col("_from").alias("held"), "resource", "task", "_w.ts", "_w.op", F.col("_w.held").alias("gate"), "turn")
+    level = "cast(floor(log2(cast(greatest(1, after - first) as double)) / 3) as int) + 1"
+    sized = held.withColumn("_level", F.expr(level))
+    most = sized.agg(F.max("_level")).first()[0] or 1
+    bins = "explode(array_distinct(array(shiftright(first, _level * 3), shiftright(after - 1, _level * 3)))) as _bin"
+    binned = sized.selectExpr(*TASK, "held", "first", "after", "_level", bins)
+    sought = asked.withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("_bin", F.expr("shiftright(v, _level * 3)"))
+    return sought.join(binned, [*TASK, "_level", "_bin"]).filter("first <= v and v < after").drop("_level", "_bin", "first", "after")
+
+
+def witnesses(rec: Recording, until: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The witnesses of lock orders, and the holds with which a task's number tells all it held.
+
+    (run_id, held, resource, task, ts, op, v, turn): per order of two locks and task the earliest try
+    that shows it, with the number of what the task held then; ``turn`` is its place among the edge's
+    witnesses, by first try. Tries of one lock at the same number are one before they meet the holds.
+    """
+    total = rec.total("parks") + 3 * rec.total("resource_state")
+    tries, holds = versions(attempts(rec, until), hold_intervals(rec, until), total, scratch)
+    holds = scratch.keep(holds)
+    tries = tries.join(holds.select(*TASK).distinct(), TASK, "left_semi")
+    turn = F.expr("struct(ord, CASE WHEN ord = 0 THEN ts ELSE id END AS a, id)")
+    each = tries.withColumn("turn", turn).groupBy(*TASK, "v", "resource").agg(F.min(F.struct("ts", "turn", "op")).alias("w"), F.min("turn").alias("turn"))
+    met = _meet(scratch.keep(each), holds).filter("held <> resource")
+    best = met.groupBy("run_id", "held", "resource", "task").agg(F.min(F.struct("w", "v")).alias("_w"), F.min("turn").alias("turn"))
+    return best.select("run_id", "held", "resource", "task", "_w.w.ts", "_w.w.op", "_w.v", "turn"), holds
+
+
+def gates(asked: DataFrame, holds: DataFrame) -> DataFrame:
+    """``asked`` (run_id, task, v) with ``gate``: all the task held then."""
+    return _meet(asked, holds).groupBy(*asked.columns).agg(F.array_sort(F.collect_set("held")).alias("gate"))
 
 
 def order_edges(shown: DataFrame) -> DataFrame:
@@ -73,9 +112,11 @@ def simple_cycles(edges: DataFrame, scratch: Scratch, *, max_len: int = MAX_CYCL
     for _ in range(max_len):
         ins, outs = edges.select("run_id", F.col("b").alias("a")).distinct(), edges.select("run_id", F.col("a").alias("b")).distinct()
         edges = scratch.keep(edges.join(ins, ["run_id", "a"], "left_semi").join(outs, ["run_id", "b"], "left_semi").select("run_id", "a", "b"))
-    roots = scratch.keep(edges.select("run_id", "a").distinct().withColumn("no", F.row_number().over(Window.partitionBy("run_id").orderBy("a"))))
+    named = edges.select("run_id", "a").distinct().withColumn("lock", F.struct("run_id", "a"))
+    ordered = order_within_key(named, "run_id", ["a"], "lock", edges.count())
+    roots = scratch.keep(ordered.select("run_id", "lock.a", F.col("pos").alias("no")))
     most = roots.agg(F.max("no")).first()[0] or 0
-    parts, start, size = [], 0, 64
+    parts, start, size = [], 0, 1
     while start < most:
         path = roots.filter((F.col("no") > start) & (F.col("no") <= start + size)).join(edges, ["run_id", "a"]).filter("b > a")
         path = path.select("run_id", F.col("a").alias("root"), F.array("a", "b").alias("path"), F.col("b").alias("at"))
@@ -91,7 +132,7 @@ def simple_cycles(edges: DataFrame, scratch: Scratch, *, max_len: int = MAX_CYCL
         parts.append(scratch.keep(batch))
         start, size = start + size, size * 2
         found = reduce(DataFrame.unionByName, parts).groupBy("run_id").count().filter(F.col("count") >= cap)
-        if start < most and roots.filter(F.col("no") > start).join(F.broadcast(found), "run_id", "left_anti").isEmpty():
+        if start < most and roots.filter(F.col("no") > start).join(found, "run_id", "left_anti").isEmpty():
             break
     if not parts:
         return edges.select("run_id", F.array("a").alias("path")).limit(0)
@@ -138,7 +179,8 @@ def predicted_cycles(rec: Recording, until: DataFrame, scratch: Scratch, *, max_
     """
     import pandas as pd
 
-    shown = scratch.keep(witnesses(rec, until))
+    shown, holds = witnesses(rec, until, scratch)
+    shown = scratch.keep(shown)
     edges = order_edges(shown)
     tracked = scratch.keep(hold_intervals(rec, until).select("run_id", "resource").distinct())
     inner = edges.join(tracked, ["run_id", "resource"], "left_semi")
@@ -147,7 +189,9 @@ def predicted_cycles(rec: Recording, until: DataFrame, scratch: Scratch, *, max_
     hops = hops.withColumn("resource", F.element_at("path", F.pmod(F.col("edge") + 1, F.size("path")) + 1))
     # no combination within MAX_COMBOS reaches further down a list
     turn = F.row_number().over(Window.partitionBy("run_id", "held", "resource").orderBy("turn"))
-    listed = shown.join(F.broadcast(hops.select("run_id", "held", "resource").distinct()), ["run_id", "held", "resource"], "left_semi").withColumn("_no", turn).filter(F.col("_no") <= MAX_COMBOS + max_len)
+    listed = shown.join(hops.select("run_id", "held", "resource").distinct(), ["run_id", "held", "resource"], "left_semi").withColumn("_no", turn).filter(F.col("_no") <= MAX_COMBOS + max_len)
+    listed = scratch.keep(listed)
+    listed = listed.join(gates(listed.select(*TASK, "v").distinct(), holds), [*TASK, "v"])
     joined = hops.join(listed, ["run_id", "held", "resource"], "left").select("run_id", F.array_join("path", "→").alias("key"), "edge", "task", "ts", "gate", F.col("_no").alias("no"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +214,7 @@ def predict(rec: Recording, until: DataFrame, scratch: Scratch, *, max_len: int
     """The report's cycles, best first, at most ``max_cycles`` a run, and its counts per run."""
     cycles, edges = predicted_cycles(rec, until, scratch, max_len=max_len, max_cycles=max_cycles)
     cycles = scratch.keep(cycles)
-    order = Window.partitionBy("run_id").orderBy(F.desc("observed"), F.size("path"), F.element_at("times", 1), "path")
+    order = Window.partitionBy("run_id").orderBy(F.desc("observed"), F.size("path"), F.array_min("times"), "path")
     # at most max(64, 8 * max_cycles) cycles a run
     best = cycles.filter("outcome = 'valid'").withColumn("no", F.row_number().over(order)).filter(F.col("no") <= max_cycles)
     count = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))

@@ -142,6 +142,31 @@ _EDGES = """tr AS (SELECT st.run_id, value AS task, resource, ts, id, 0 AS ord F
 eg AS (SELECT tr.run_id, hd.resource AS held, tr.resource, count(DISTINCT tr.task) AS tasks, min(ts) AS first_ts FROM tr JOIN hd ON hd.run_id = tr.run_id AND hd.task = tr.task AND start_ts < ts AND end_ts > ts AND hd.resource <> tr.resource GROUP BY ALL)"""
 
 
+
+
+def _cycles(most: int) -> str:
+    """The simple cycles of up to so many locks, from their least one; of a run the first 128 in the order of their paths."""
+    return f"""ee AS (SELECT run_id, held AS a, resource AS b FROM eg WHERE EXISTS (SELECT 1 FROM hd WHERE hd.run_id = eg.run_id AND hd.resource = eg.resource)),
+cy AS (SELECT run_id, [a, b] AS path FROM ee WHERE b > a
+  UNION ALL SELECT cy.run_id, list_append(path, b) FROM cy JOIN ee ON ee.run_id = cy.run_id AND ee.a = path[-1] WHERE b > path[1] AND NOT list_contains(path, b) AND len(path) < {most}),
+cc AS (SELECT run_id, path FROM (SELECT cy.run_id, path, row_number() OVER (PARTITION BY cy.run_id ORDER BY path) AS no FROM cy JOIN ee ON ee.run_id = cy.run_id AND ee.a = path[-1] AND ee.b = path[1]) WHERE no <= 128)"""
+
+
+#: Witnesses of each cycle: every combination of one per edge with distinct tasks, in the order of the edges' lists.
+_CHOSEN = """tp AS (SELECT tr.run_id, tr.task, tr.resource, tr.ts, tr.ord, tr.id, hd.resource AS held FROM tr JOIN hd ON hd.run_id = tr.run_id AND hd.task = tr.task AND start_ts < ts AND end_ts > ts AND hd.resource <> tr.resource),
+tg2 AS (SELECT run_id, task, resource, ts, ord, id, list(DISTINCT held) AS gate FROM tp GROUP BY ALL),
+wi AS (SELECT tp.run_id, held, tp.resource, tp.task, arg_min((tp.ts, gate), (tp.ts, tp.ord, CASE WHEN tp.ord = 0 THEN tp.ts ELSE tp.id END, tp.id)) AS w, min((tp.ord, CASE WHEN tp.ord = 0 THEN tp.ts ELSE tp.id END, tp.id)) AS turn
+  FROM tp JOIN tg2 ON tg2.run_id = tp.run_id AND tg2.task = tp.task AND tg2.resource = tp.resource AND tg2.ts = tp.ts AND tg2.ord = tp.ord AND tg2.id = tp.id GROUP BY ALL),
+wn AS (SELECT run_id, held, resource, task, w[1] AS ts, w[2] AS gate, row_number() OVER (PARTITION BY run_id, held, resource ORDER BY turn) AS no FROM wi),
+cb AS (SELECT cc.run_id, path, 1 AS k, [wn.task] AS tasks, [wn.ts] AS times, [wn.no] AS nos, gate FROM cc JOIN wn ON wn.run_id = cc.run_id AND wn.held = path[1] AND wn.resource = path[2]
+  UNION ALL SELECT cb.run_id, path, k + 1, list_append(tasks, wn.task), list_append(times, wn.ts), list_append(nos, wn.no), list_intersect(cb.gate, wn.gate)
+  FROM cb JOIN wn ON wn.run_id = cb.run_id AND wn.held = path[k + 1] AND wn.resource = path[(k + 1) % len(path) + 1] WHERE k < len(path) AND NOT list_contains(tasks, wn.task)),
+cr AS (SELECT *, len(list_filter(gate, lambda x: NOT list_contains(path, x))) = 0 AS fits, row_number() OVER (PARTITION BY run_id, path ORDER BY nos) AS turn FROM cb WHERE k = len(path)),
+cx AS (SELECT run_id, path, arg_min((tasks, times), nos) FILTER (fits) AS f FROM cr WHERE turn <= 4096 GROUP BY ALL),
+ch AS (SELECT cc.run_id, cc.path, f[1] AS tasks, f[2] AS times, CASE WHEN cx.path IS NULL THEN 'single_task' WHEN f IS NULL THEN 'guarded' ELSE 'valid' END AS outcome,
+    EXISTS (SELECT 1 FROM de WHERE de.run_id = cc.run_id AND list_sort(list_distinct(resources)) = list_sort(cc.path)) AS observed FROM cc LEFT JOIN cx ON cx.run_id = cc.run_id AND cx.path = cc.path)"""
+
+
 def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
@@ -225,11 +250,12 @@ SQL = {
     "lint_findings": _with(*_B, _END, _STATUS, _HOLDER, _LINKS, _WALK, _DEAD, _EPISODES, _DEPTHS) + _lint(1_000_000, 1_000_000_000),
     "ring_lint": _with(*_RING_END, _EPISODES, _DEPTHS) + _lint(1, 100_000),
     "lock_order_edges": _with(*_B, _EPISODES, _HOLDS, _EDGES) + "SELECT * FROM eg",
-    "lock_cycles": _with(*_B, _EPISODES, _HOLDS, _EDGES, """ee AS (SELECT run_id, held AS a, resource AS b FROM eg WHERE EXISTS (SELECT 1 FROM hd WHERE hd.run_id = eg.run_id AND hd.resource = eg.resource)),
-tops AS (SELECT DISTINCT a AS root FROM ee x WHERE EXISTS (SELECT 1 FROM ee y WHERE y.b = x.a AND y.run_id = x.run_id) ORDER BY a LIMIT 200),
-cy AS (SELECT run_id, [a, b] AS path FROM ee WHERE b > a AND a IN (SELECT root FROM tops)
-  UNION ALL SELECT cy.run_id, list_append(path, b) FROM cy JOIN ee ON ee.run_id = cy.run_id AND ee.a = path[-1] WHERE b > path[1] AND NOT list_contains(path, b) AND len(path) < 4)""")
-    + "SELECT run_id, array_to_string(path, '→') AS path FROM (SELECT * FROM cy WHERE EXISTS (SELECT 1 FROM ee WHERE ee.run_id = cy.run_id AND ee.a = path[-1] AND ee.b = path[1]) ORDER BY path LIMIT 128)",
+    "lock_cycles": _with(*_B, _EPISODES, _HOLDS, _EDGES, _cycles(4)) + "SELECT run_id, array_to_string(path, '→') AS path FROM cc",
+    "predicted": _with(*_B, _END, _STATUS, _HOLDER, _LINKS, _WALK, _DEAD, _EPISODES, _HOLDS, _EDGES, _cycles(4), _CHOSEN)
+    + "SELECT run_id, array_to_string(path, '→') AS path, coalesce(array_to_string(tasks, '→'), '') AS tasks, coalesce(array_to_string(times, '→'), '') AS times, outcome, CAST(observed AS INT) AS observed FROM ch",
+    "ring_predict": _with(*_RING_END, _EPISODES, _HOLDS, _EDGES, _cycles(5), _CHOSEN)
+    + """SELECT run_id, array_to_string(path, '→') AS path, CAST(observed AS INT) AS observed, no FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY observed DESC, len(path), list_min(times), path) AS no FROM ch WHERE outcome = 'valid') WHERE no <= 16""",
     "interval_merge": _with(*_B, _EPISODES, _merged("task")) + "SELECT * FROM mw",
     "task_groups": _with(_PAIR, _BOUNDS, _EPISODES, _merged("task"), _LABELS, _TASK_GROUPS) + "SELECT * FROM tg",
     "resource_groups": _with(_PAIR, _BOUNDS, _EPISODES, _merged("resource, task"), _LABELS, _DEPTHS, _RG) + "SELECT * FROM rg",
@@ -245,12 +271,16 @@ cy AS (SELECT run_id, [a, b] AS path FROM ee WHERE b > a AND a IN (SELECT root F
 tt AS (SELECT run_id, id, 0::BIGINT AS depth, CAST(id AS VARCHAR) AS path, step AS place FROM tp WHERE parent IS NULL OR parent NOT IN (SELECT id FROM tp)
   UNION ALL SELECT tp.run_id, tp.id, depth + 1, path || '/' || tp.id, place || '/' || step FROM tt JOIN tp ON tp.parent = tt.id)""")
     + "SELECT tk.run_id, tk.id AS task, depth, path, coalesce(k0, concat(kd, '#', tk.id)) AS label, place FROM tk LEFT JOIN tt USING (run_id, id)",
-    "hunt_cycles": _with(*_RING_END)
-    + """SELECT key, count(*) AS observed, 0 AS predicted, string_agg(run_id, ',' ORDER BY run_id) AS observed_runs, '' AS predicted_runs, min(run_id) AS first_run
-    FROM (SELECT de.run_id, array_to_string(list_sort(list(concat(concrete_type, '@ring.rs:', loc_line))), '→') AS key FROM (SELECT run_id, members, unnest(resources) AS x FROM de) de JOIN r ON r.run_id = de.run_id AND r.id = x GROUP BY de.run_id, members) GROUP BY key""",
-    "run_summary": _with(_PAIR, _BOUNDS, _EPISODES, _merged("task"), _LABELS, _TASK_GROUPS)
-    + """SELECT bo.run_id, max_ts - min_ts AS duration, CAST(sum(instances) AS BIGINT) AS tasks, (SELECT count(*) FROM r WHERE r.run_id = bo.run_id) AS resources, CAST(sum(poll_ns) AS BIGINT) AS poll_ns, CAST(sum(wait_ns) AS BIGINT) AS wait_ns
-    FROM bo JOIN tg USING (run_id) GROUP BY ALL""",
+    "hunt_cycles": _with(*_RING_END, _EPISODES, _HOLDS, _EDGES, _cycles(4), _CHOSEN)
+    + """, best AS (SELECT * FROM (SELECT run_id, path, observed, row_number() OVER (PARTITION BY run_id ORDER BY observed DESC, len(path), list_min(times), path) AS no FROM ch WHERE outcome = 'valid') WHERE no <= 16),
+sg AS (SELECT run_id, true AS seen, resources AS locks FROM de UNION ALL SELECT run_id, observed, path FROM best),
+lb AS (SELECT run_id, seen, locks, unnest(locks) AS x FROM sg),
+lk AS (SELECT DISTINCT run_id, seen, key FROM (SELECT lb.run_id, seen, locks, array_to_string(list_sort(list_distinct(list(concat(concrete_type, '@ring.rs:', loc_line)))), '→') AS key FROM lb JOIN r ON r.run_id = lb.run_id AND r.id = x GROUP BY ALL))
+SELECT key, count(*) FILTER (seen) AS observed, count(*) FILTER (NOT seen) AS predicted, coalesce(string_agg(run_id, ',' ORDER BY run_id) FILTER (seen), '') AS observed_runs,
+    coalesce(string_agg(run_id, ',' ORDER BY run_id) FILTER (NOT seen), '') AS predicted_runs, min(run_id) AS first_run FROM lk GROUP BY key""",
+    "run_summary": _with(_PAIR, _BOUNDS, _EPISODES, _merged("task"), _LABELS, _TASK_GROUPS, _END, _NO_PARENT, _HOLDER, _LINKS, _WALK, _DEAD, _DEAD_KEYS)
+    + """SELECT bo.run_id, max_ts - min_ts AS duration, CAST(sum(instances) AS BIGINT) AS tasks, (SELECT count(*) FROM r WHERE r.run_id = bo.run_id) AS resources, CAST(sum(poll_ns) AS BIGINT) AS poll_ns, CAST(sum(wait_ns) AS BIGINT) AS wait_ns,
+    (SELECT count(*) FROM dq WHERE dq.run_id = bo.run_id) AS deadlocks FROM bo JOIN tg USING (run_id) GROUP BY ALL""",
 }
 
 

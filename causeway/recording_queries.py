@@ -187,14 +187,14 @@ def ring_lint(spark, sf_dir):
 
 
 def lock_order_edges(spark, sf_dir):
-    rec, ends, _ = _rec(spark, sf_dir)
-    return predict.order_edges(predict.witnesses(rec, ends))
+    rec, ends, scratch = _rec(spark, sf_dir)
+    return predict.order_edges(predict.witnesses(rec, ends, scratch)[0])
 
 
 def lock_cycles(spark, sf_dir):
     rec, ends, scratch = _rec(spark, sf_dir)
     tracked = folds.hold_intervals(rec, ends).select("run_id", "resource").distinct()
-    edges = predict.order_edges(predict.witnesses(rec, ends)).join(tracked, ["run_id", "resource"], "left_semi")
+    edges = predict.order_edges(predict.witnesses(rec, ends, scratch)[0]).join(tracked, ["run_id", "resource"], "left_semi")
     return predict.simple_cycles(edges, scratch).select("run_id", F.array_join("path", "→").alias("path"))
 
 
@@ -227,7 +227,7 @@ def resource_groups(spark, sf_dir):
 
 def run_summary(spark, sf_dir):
     rec, scratch = _pair(spark, sf_dir)
-    return diff.run_summary(rec, scratch).drop("deadlocks")
+    return diff.run_summary(rec, scratch)
 
 
 def diff_findings(spark, sf_dir):

@@ -18,6 +18,9 @@ def test_reports(spark, tmp_path, capsys):
     assert [(g["task"], g["outcome"], g["chain"]) for g in got] == [(1, "deadlock", [1, 2])]
     assert main(["why-blocked", path, "--task", "t2", "--at", "10"]) == 0
     assert json.loads(capsys.readouterr().out)["outcome"] == "not_blocked"
+    for command in ("why-blocked", "why-slow"):
+        assert main([command, path, "--task", "nobody"]) == 1
+        assert capsys.readouterr().err == "error: no task of id or name nobody\n"
     assert main(["stats", path]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[0])["polls"] == 4
     assert main(["lint", str(tmp_path / "none.log")]) == 1

@@ -219,10 +219,10 @@ def test_latency(world):
     assert slow["lpark"] == 1 and slow["base"] == 1
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [None, "small_units"])
 def test_holder_activity_of_all_waits(spark, request, small):
     if small:
-        request.getfixturevalue("small_units")
+        request.getfixturevalue(small)
     rnd = random.Random(5)
     polls = [(k, 7, s, rnd.choice([s + 3, s + 1, s, s + 9, s - 2, None if s > 380 else s + 2])) for k, s in enumerate(rnd.sample(range(400), 80))] + [(90, 8, 5, None)]
     parks = [(k, rnd.choice([7, 7, 7, 8]), rnd.choice([1, 2, 3]), "x", rnd.randrange(400)) for k in range(120)]
@@ -284,5 +284,7 @@ def test_hunt_and_tree(world):
     rec, _, scratch = world
     got = {r.key: r for r in hunt.hunt_cycles(rec, scratch).collect()}
     assert got["Mutex@src/main.rs:10→Mutex@src/main.rs:20"].observed_runs == "dl,tail,tree"
+    assert got["Mutex@src/main.rs:10→Mutex@src/main.rs:20"].predicted_runs == "" and got["Mutex@src/main.rs:10→Mutex@src/main.rs:20"].predicted == 0
+    assert any(r.predicted_runs and not r.observed_runs for r in got.values())
     rows = [r for r in tree.spawn_tree(rec, scratch).orderBy("place").collect() if r.run_id == "tree"]
     assert [(r.task, r.depth, r.label) for r in rows] == [(1, 0, "t1"), (3, 1, "child-of-t1"), (2, 0, "t2"), (4, 0, "own"), (5, 0, "lost")]
