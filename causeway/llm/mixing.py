@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from causeway.llm.quality import Scorer, _pieces
 from causeway.llm.tokens import TOKENIZER_DIR, VOCABULARY, counter
-from causeway.skew import MAX_UNITS
+from causeway.skew import carry, shard_cuts
 
 #: Weight of a text without prose; all prose has 1. Weights steer chances, they exclude nothing.
 LEAST_WEIGHT = 0.1
-#: Documents a slice of a source is meant to hold while keys are put in order.
+#: Documents a shard of a source is meant to hold while keys are put in order, in small tables.
 SLICE_ROWS = 50_000
 #: A list of sources is small by nature; a longer one is refused.
 MOST_SOURCES = 10_000
@@ -69,8 +69,9 @@ def mixture(lengths: DataFrame, targets: DataFrame, *, total_tokens: int | None
     are epochs, or once more, at most ``max_repeats`` times, and a source ends less than one
     document short of its budget.
 
-    A source with many documents is ordered in slices of its keys' range, each small, whose sums are
-    added up before; no task holds a source. Documents with a null or unlisted source or 0 tokens
+    A source with many documents is ordered in shards whose bounds are taken from a sample of its own
+    keys, so they are even whatever the weights; the sums of earlier shards are added up, and no task
+    holds a source. Documents with a null or unlisted source or 0 tokens
     are not used; a weight that is null, zero or less counts as the least one. Of target rows that
     repeat a source the greatest share holds. The report has a row per listed source: (source,
     target_share, available_tokens, budget_tokens, tokens, documents, actual_share,
@@ -86,23 +87,22 @@ def mixture(lengths: DataFrame, targets: DataFrame, *, total_tokens: int | None
     found = {r.source: (r.t, r.n) for r in counted.collect()}
     plan = budgets({s: t for s, (t, _) in found.items()}, [(r.source, r.target_share, r.max_repeats) for r in listed], total_tokens)
     rows = [
-        (r.source, float(r.target_share), found.get(r.source, (0, 0))[0], *(plan.get(r.source) or (0.0, 0, 0))[1:], min(MAX_UNITS, -(-found.get(r.source, (0, 0))[1] // slice_rows)))
+        (r.source, float(r.target_share), found.get(r.source, (0, 0))[0], *(plan.get(r.source) or (0.0, 0, 0))[1:])
         for r in listed
     ]
-    budget = spark.createDataFrame(rows, "source string, target_share double, available_tokens bigint, epochs bigint, rest bigint, slices int")
+    budget = spark.createDataFrame(rows, "source string, target_share double, available_tokens bigint, epochs bigint, rest bigint")
 
     draw = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     weight = F.when(F.col("weight") >= LEAST_WEIGHT, F.col("weight")).otherwise(F.lit(LEAST_WEIGHT))
     # at most MOST_SOURCES rows
     keyed = usable.join(F.broadcast(budget.filter("epochs > 0 or rest > 0")), "source").withColumn("_key", -F.log(draw) / weight)
-    # 1 - exp(-key) lies between 0 and 1 and is even for equal weights
-    keyed = keyed.withColumn("_slice", F.least(F.floor(-F.expm1(-F.col("_key")) * F.col("slices")).cast("int"), F.col("slices") - 1))
-    sums = keyed.groupBy("source", "_slice").agg(F.sum("tokens").alias("_in"))
-    ahead = sums.select("source", "_slice", F.sum("_in").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_ahead"))
-    w = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    # at most MAX_UNITS rows a source
-    placed = keyed.withColumn("_here", F.sum("tokens").over(w)).join(F.broadcast(ahead), ["source", "_slice"])
-    repeats = F.col("epochs") + (F.coalesce("_ahead", F.lit(0)) + F.col("_here") <= F.col("rest")).cast("bigint")
+    keyed = keyed.select("doc_id", "source", "tokens", "epochs", "rest", "_key")
+    place = ["_key", "doc_id"]
+    cuts = shard_cuts(keyed, "source", place, sum(n for _, n in found.values()), slice_rows)
+    sliced = carry(keyed, cuts, "source", place, F.sum("tokens"), F.sum("_sum"))
+    w = Window.partitionBy("source", "_shard").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    placed = sliced.withColumn("_upto", F.coalesce("_carry", F.lit(0)) + F.sum("tokens").over(w))
+    repeats = F.col("epochs") + (F.col("_upto") <= F.col("rest")).cast("bigint")
     mixed = placed.select("doc_id", "source", "tokens", repeats.alias("repeats")).filter("repeats > 0")
 
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.sum("repeats").alias("documents"), F.max("repeats").alias("most_repeats"))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 
-from causeway.llm.percentiles import RELATIVE_ERROR
-from causeway.llm.queries import PERIOD_NS, QUANTILES
+from causeway.llm.queries import PERIOD_NS, QUANTILES, SKETCH_ERROR
 
-_G = (1 + RELATIVE_ERROR) / (1 - RELATIVE_ERROR)
+_G = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
 _TOOK = "(SELECT DISTINCT id, task, start_ts, end_ts - start_ts AS took FROM polls WHERE id IS NOT NULL AND end_ts IS NOT NULL)"
 
 
@@ -15,8 +14,8 @@ def _percentiles(scope: str, key: str) -> str:
     """The true value of each rank, answered by its bucket."""
     ranked = f"""SELECT {key} AS key, took, row_number() OVER (PARTITION BY {key} ORDER BY took) - 1 AS rank, count(*) OVER (PARTITION BY {key}) AS n FROM {_TOOK}"""
     size = f"2 / ({_G!r} + 1) * pow({_G!r}, ceil(ln(abs(took)::DOUBLE) / {math.log(_G)!r}))"
-    return f"""SELECT '{scope}' AS scope, key, q, n, CAST(round(CASE WHEN took = 0 THEN 0 ELSE sign(took) * {size} END) AS BIGINT) AS value
-    FROM ({ranked}) JOIN (SELECT unnest({QUANTILES}::DOUBLE[]) AS q) ON rank = CAST(floor(q * (n - 1)) AS BIGINT)"""
+    return f"""SELECT '{scope}' AS scope, key, q, n, CASE WHEN abs(v) >= 1000 THEN round(v) ELSE round(v, 3) END AS value
+    FROM (SELECT *, CAST(CASE WHEN took = 0 THEN 0 ELSE sign(took) * {size} END AS DOUBLE) AS v FROM ({ranked})) JOIN (SELECT unnest({QUANTILES}::DOUBLE[]) AS q) ON rank = CAST(floor(q * (n - 1)) AS BIGINT)"""
 
 
 _ALL = _percentiles("all", "CAST(NULL AS BIGINT)")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Containers a chunk is meant to fill. A chunk wastes about half a container by rounding up.
 CHUNK_CONTAINERS = 96
+#: Items a chunk is meant to have at most, however small they are.
+CHUNK_ITEMS = 16_384
 
 
 def difference(sizes: np.ndarray, ways: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
         step = max(1, ways // 64)
 
 
-def pack_documents(lengths: DataFrame, capacities: DataFrame, *, seed: int = 0, chunk_containers: int = CHUNK_CONTAINERS) -> DataFrame:
+def pack_documents(lengths: DataFrame, capacities: DataFrame, *, seed: int = 0, chunk_containers: int = CHUNK_CONTAINERS, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
     """(pack_name, container, doc_id, piece, start_token, tokens): every document in containers of every capacity.
 
     ``lengths`` has doc_id (unique) and tokens, ``capacities`` pack_name and capacity_tokens. A
@@ -98,8 +100,8 @@ def pack_documents(lengths: DataFrame, capacities: DataFrame, *, seed: int = 0,
     null ones included, need no container and aren't in the result. ``container`` is unique within
     pack_name.
 
-    Items are dealt by a hash of their id to chunks meant to fill ``chunk_containers`` containers,
-    whatever their number, source or page, and each chunk is packed by itself; so work grows with the
+    Items are dealt by a hash of their id to chunks meant to fill ``chunk_containers`` containers, with
+    about ``chunk_items`` items at most, whatever their number, source or page, and each chunk is packed by itself; so work grows with the
     number of documents, and no group does. A capacity that is null or not positive is an error. No
     documents, no rows.
     """
@@ -109,9 +111,10 @@ def pack_documents(lengths: DataFrame, capacities: DataFrame, *, seed: int = 0,
         raise ValueError("capacities are positive")
     if not wanted:
         raise ValueError("no capacity")
-    whole = lengths.agg(*[F.sum(F.col("_all") % c).alias(str(k)) for k, (_, c) in enumerate(wanted)], F.lit(1)).first()
+    whole = lengths.agg(*[F.sum(F.col("_all") % c) for _, c in wanted], *[F.count_if(F.col("_all") % c > 0) for _, c in wanted]).first()
+    chunks = [max(1, math.ceil((whole[k] or 0) / (c * chunk_containers)), math.ceil(whole[len(wanted) + k] / chunk_items)) for k, (_, c) in enumerate(wanted)]
     packs = [
-        F.struct(F.lit(name).alias("pack_name"), F.lit(c).cast("bigint").alias("capacity"), F.lit(max(1, math.ceil((whole[k] or 0) / (c * chunk_containers)))).alias("chunks"))
+        F.struct(F.lit(name).alias("pack_name"), F.lit(c).cast("bigint").alias("capacity"), F.lit(chunks[k]).alias("chunks"))
         for k, (name, c) in enumerate(wanted)
     ]
     items = lengths.select("doc_id", "_all", F.explode(F.array(*packs)).alias("_p")).select("doc_id", "_all", "_p.*")

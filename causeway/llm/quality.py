@@ -14,35 +14,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Fixed values of the published rules for web text (quality filters by word counts, mean word
-#: length, symbols, bullets, ellipses, alphabetic words and stop words).
+#: Fixed values of the published rules for web text: quality filters by word counts, mean word
+#: length, symbols, bullets, ellipses, alphabetic words and stop words, and lines that end in a mark
+#: that ends a sentence.
 LEAST_WORDS = 50
 MOST_WORDS = 100_000
 MEAN_WORD_LENGTH = (3.0, 10.0)
 MOST_SYMBOLS_PER_WORD = 0.1
-MOST_BULLET_LINES = 0.9
 MOST_ELLIPSIS_LINES = 0.3
 LEAST_ALPHABETIC_WORDS = 0.8
 LEAST_COMMON_WORDS = 2
 
-#: A line is prose if it passes the same kinds of rule: words of a usual length, enough common words
-#: of one language, no bullet and no cells. Lines shorter than SHORT_LINE must end like a sentence.
-LINE_COMMON_SHARE = 0.2
-LINE_ONE_LANGUAGE = 0.75
-LINE_SYMBOL_SHARE = 0.12
-SHORT_LINE = 55
-#: Words to a mark that ends a sentence, beyond which a line is no row of sentences; and words in a
-#: line without such a mark, which may be part of a sentence.
-MOST_WORDS_PER_SENTENCE = 42
-MOST_WORDS_WITHOUT_END = 30
-#: A document is prose if at least this share of the characters left is in prose lines; one that
-#: has exactly half of something else is not.
+#: A document is prose if more than this share of the characters left is in paragraphs, up to the end
+#: of their last sentence, that pass every rule; one that has exactly half of something else is not.
 LEAST_PROSE_SHARE = 0.5
 
-#: Templates inside templates that are cut, deepest first.
-MOST_NESTED = 12
-
-_CUT_FIRST = (r"(?s)<!--.*?-->", r"(?is)<ref[^<>]*/>", r"(?is)<ref[^<>]*>.*?</ref>", r"(?i)</?(?:noinclude|includeonly|onlyinclude|nowiki)>")
+_CUT_FIRST = (r"(?s)<!--.*?-->", r"(?is)<ref[^<>]*/>", r"(?is)<ref[^<>]*>.*?</ref>", r"(?is)<sup[^<>]*>\s*\[[^\[\]]*\]\s*</sup>", r"(?i)</?(?:noinclude|includeonly|onlyinclude|nowiki)>")
 _HOLDERS = r"\{\{\{[^{}]*\}\}\}"
 _TEMPLATES = r"\{\{[^{}]*\}\}"
 #: What is left of templates that were never closed, or whose opening is gone.
@@ -55,7 +42,6 @@ _LINK = r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]\n]*)\]\]"
 
 _BULLET = r"^\s*(?:[*#:;•·–—-]|\(?\d{1,3}[.)]\s|[a-zA-Z][.)]\s)"
 _TABLE = r"^\s*(?:\||!|\{\|)|\|\||!!\s"
-_COLUMNS = r"\S(?: {3,}|\t)\S"
 _ENDS = r"""[.!?…:]["'”»)\]]*\s*$"""
 _SENTENCE_END = r"[.!?…](?:\s|$)"
 _ELLIPSIS = r"(?:\.\.\.|…)\s*$"
@@ -70,7 +56,8 @@ def strip_markup(texts: pa.Array) -> pa.Array:
     """The texts without what doesn't count."""
     for pattern in _CUT_FIRST:
         texts = pc.replace_substring_regex(texts, pattern, "")
-    for _ in range(MOST_NESTED):
+    # templates inside templates, deepest first, until nothing changes
+    while True:
         open_at = pc.match_substring(texts, "}}")
         if not pc.any(open_at).as_py():
             break
@@ -88,12 +75,14 @@ def strip_markup(texts: pa.Array) -> pa.Array:
     return pc.replace_substring(pc.replace_substring(texts, "'''", ""), "''", "")
 
 
-def lines_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lines that count, trimmed, and the number of the text each is in."""
+def lines_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The lines that count, trimmed, the number of the text each is in, and whether it directly follows another one."""
     split = pc.split_pattern(pc.replace_substring(texts, "\r", "\n"), "\n")
     lines, doc = pc.utf8_trim_whitespace(split.flatten()), _owners(split)
     kept = (pc.binary_length(lines).to_numpy(zero_copy_only=False) > 0) & ~_flags(lines, _HEADING) & ~_flags(lines, _TORN)
-    return lines.filter(pa.array(kept)), doc[kept]
+    follows = np.diff(np.flatnonzero(kept), prepend=-2) == 1
+    follows[1:] &= np.diff(doc[kept]) == 0
+    return lines.filter(pa.array(kept)), doc[kept], follows
 
 
 def _flags(values: pa.Array, pattern: str) -> np.ndarray:
@@ -117,16 +106,11 @@ class Scorer:
     """Statistics of batches of texts, given the common words of each language."""
 
     def __init__(self, common: list[tuple[str, str]]):
-        self.languages = sorted({lang for lang, _ in common})
-        bits: dict[str, int] = {}
-        for lang, word in common:
-            bits[word.lower()] = bits.get(word.lower(), 0) | 1 << self.languages.index(lang)
-        self.words = pa.array(list(bits), pa.large_string())
-        self.bits = np.array([0, *bits.values()], dtype=np.int64)
+        self.words = pa.array(sorted({word.lower() for _, word in common}), pa.large_string())
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         n_docs = len(texts)
-        lines, doc = lines_of(strip_markup(pc.fill_null(texts.cast(pa.large_string()), "")))
+        lines, doc, follows = lines_of(strip_markup(pc.fill_null(texts.cast(pa.large_string()), "")))
         size = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.float64)
         n_lines = len(lines)
 
@@ -137,33 +121,37 @@ class Scorer:
         # each distinct token is looked at once
         bare = pc.utf8_lower(pc.utf8_trim(coded.dictionary, """.,;:!?"'()[]{}«»„“”‘’…-–—/*|"""))
         length = pc.utf8_length(bare).to_numpy(zero_copy_only=False).astype(np.float64)[which]
-        mark = self.bits[pc.fill_null(pc.add(pc.index_in(bare, value_set=self.words), 1), 0).to_numpy(zero_copy_only=False)][which]
+        known = pc.is_in(bare, value_set=self.words).to_numpy(zero_copy_only=False)[which]
         # a word is a token with a letter; figures and marks by themselves are not
         lettered = _flags(bare, r"\p{L}")[which]
         per_line = lambda w=None: np.bincount(token_line, weights=w, minlength=n_lines).astype(np.float64)
         n_tokens, n_words, in_words = per_line(), per_line(lettered), per_line(length * lettered)
-        common = per_line(mark > 0)
-        by_language = np.stack([per_line((mark >> k) & 1) for k in range(len(self.languages))] or [np.zeros(n_lines)])
-        one_language = by_language.max(axis=0)
+        common = per_line(known)
 
         bullet, table = _flags(lines, _BULLET), _flags(lines, _TABLE)
         ends, ellipsis = _flags(lines, _ENDS), _flags(lines, _ELLIPSIS)
         symbols = _counts(lines, r"[^\p{L}\p{N}\s.,;:'’()\"-]").astype(np.float64)
-        cells = (_counts(lines, _COLUMNS) >= 2) | ((_counts(lines, r"[;,]\S?") >= 3) & (common < LINE_COMMON_SHARE * n_tokens))
-        sentences = _counts(lines, _SENTENCE_END)
-        mean_length = _ratio(in_words, n_words)
-        prose = (
-            ~bullet
-            & ~table
-            & ~cells
-            & (mean_length >= MEAN_WORD_LENGTH[0])
-            & (mean_length <= MEAN_WORD_LENGTH[1])
-            & (common >= LINE_COMMON_SHARE * n_tokens)
-            & (one_language >= LINE_ONE_LANGUAGE * common)
-            & (symbols <= LINE_SYMBOL_SHARE * size)
-            & (ends | (size >= SHORT_LINE))
-            & (n_tokens <= np.where(sentences > 0, MOST_WORDS_PER_SENTENCE * sentences, MOST_WORDS_WITHOUT_END))
-        )
+        # lines wrapped by the writer are one paragraph: one that ends no sentence goes on in the next
+        free = ~bullet & ~table
+        opens = np.ones(n_lines, bool)
+        opens[1:] = ~(follows & free)[1:] | ~(free & ~ends)[:-1]
+        block = np.cumsum(opens) - 1
+        n_blocks = int(block[-1]) + 1 if n_lines else 0
+        per_block = lambda w: np.bincount(block, weights=w, minlength=n_blocks).astype(np.float64)
+        last_end = np.full(n_blocks, -1)
+        np.maximum.at(last_end, block, np.where(_counts(lines, _SENTENCE_END) > 0, np.arange(n_lines), -1))
+        block_words, block_tokens = per_block(n_words), per_block(n_tokens)
+        block_length = _ratio(per_block(in_words), block_words)
+        # the published rules, paragraph by paragraph; what follows the last end of a sentence is no sentence
+        broken = {
+            "unended": np.arange(n_lines) > last_end[block],
+            "bullets": ~free,
+            "word_length": ((block_length < MEAN_WORD_LENGTH[0]) | (block_length > MEAN_WORD_LENGTH[1]))[block],
+            "symbols": (per_block(symbols) > MOST_SYMBOLS_PER_WORD * block_tokens)[block],
+            "alphabetic": (block_words < LEAST_ALPHABETIC_WORDS * block_tokens)[block],
+            "common_words": (per_block(common) < LEAST_COMMON_WORDS)[block],
+        }
+        prose = ~np.logical_or.reduce(list(broken.values()))
         per_doc = lambda w=None: np.bincount(doc, weights=w, minlength=n_docs).astype(np.float64)
         chars, words, tokens_in, all_lines = per_doc(size), per_doc(n_words), per_doc(n_tokens), per_doc()
         stats = {
@@ -178,18 +166,13 @@ class Scorer:
             "common_share": _ratio(per_doc(common), words),
             "prose_share": _ratio(per_doc(size * prose), chars),
         }
-        hashes = _ratio(per_doc(symbols), tokens_in)
         failed = {
             "empty": chars == 0,
             "not_prose": (chars > 0) & (stats["prose_share"] <= LEAST_PROSE_SHARE),
+            **{name: (chars > 0) & (per_doc(size * flags) >= LEAST_PROSE_SHARE * chars) for name, flags in broken.items()},
             "few_words": words < LEAST_WORDS,
             "many_words": words > MOST_WORDS,
-            "word_length": (stats["mean_word_length"] < MEAN_WORD_LENGTH[0]) | (stats["mean_word_length"] > MEAN_WORD_LENGTH[1]),
-            "symbols": hashes > MOST_SYMBOLS_PER_WORD,
-            "bullets": stats["bullet_share"] > MOST_BULLET_LINES,
             "ellipses": stats["ellipsis_share"] > MOST_ELLIPSIS_LINES,
-            "alphabetic": stats["alphabetic_share"] < LEAST_ALPHABETIC_WORDS,
-            "common_words": per_doc(common) < LEAST_COMMON_WORDS,
         }
         stats["is_prose"] = ~(failed["empty"] | failed["not_prose"])
         # texts that fail the same rules share one string
@@ -215,12 +198,15 @@ def common_words(words: DataFrame) -> list[tuple[str, str]]:
 def text_quality(documents: DataFrame, common_words: list[tuple[str, str]], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, statistics..., is_prose, reasons): one row per row of ``documents``.
 
-    ``reasons`` lists every rule the text fails, in a fixed order, separated by commas. ``is_prose``
-    is false for a text of which nothing is left, and if at least half of its characters are in
-    lines that are no prose; the other rules are recorded only, as short stubs are prose too.
+    The published rules are applied to paragraphs: sentences that end, no bullets or cells, the mean
+    word length, symbols per word, the share of words with letters, and at least two common words of
+    any language, whatever ``lang`` says. ``is_prose`` is false for a text of which nothing is left,
+    and if at least half of its characters are in paragraphs that fail a rule. ``reasons`` lists, in a
+    fixed order, separated by commas, ``empty`` or ``not_prose``, every rule that paragraphs with at
+    least half of the characters fail, and the rules on whole texts (number of words, lines that end
+    in an ellipsis), which are recorded only, as short stubs are prose too.
 
-    ``common_words`` are (language, word) pairs, a fixed small list; a line counts for the language
-    that suits it best, whatever ``lang`` says. Null and empty texts fail as ``empty`` with zeros.
+    ``common_words`` are (language, word) pairs, a fixed small list. Null and empty texts fail as ``empty`` with zeros.
     Texts are taken whole. Rows with a null id are kept. An empty table gives no rows.
     """
     key = documents.schema[doc_id].dataType.simpleString()

@@ -19,6 +19,8 @@ from causeway.tables import table
 QUANTILES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
 #: Stretch of start_ts for which a sketch of its own is made, ns.
 PERIOD_NS = 60_000_000_000
+#: Error of the buckets; what is left of percentiles.RELATIVE_ERROR pays for rounding the answers.
+SKETCH_ERROR = 0.009
 
 
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,22 +29,23 @@ def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(found: DataFrame, scope: str, *by: str) -> DataFrame:
-    whole = F.round("value").cast("bigint").alias("value")
+    """Answers to some digits, which with SKETCH_ERROR stay within RELATIVE_ERROR of whole numbers."""
+    whole = F.expr("CASE WHEN abs(value) >= 1000 THEN round(value) ELSE round(value, 3) END AS value")
     return found.select(F.lit(scope).alias("scope"), (F.col(by[0]) if by else F.lit(None).cast("bigint")).alias("key"), F.col("q"), "n", whole)
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = sketch(_durations(spark, sf_dir), ["task"], F.col("took"))
-    each = _answers(percentiles(tasks, ["task"], QUANTILES), "task", "task")
-    return each.union(_answers(percentiles(merge(tasks, []), [], QUANTILES), "all"))
+    tasks = sketch(_durations(spark, sf_dir), ["task"], F.col("took"), SKETCH_ERROR)
+    each = _answers(percentiles(tasks, ["task"], QUANTILES, SKETCH_ERROR), "task", "task")
+    return each.union(_answers(percentiles(merge(tasks, []), [], QUANTILES, SKETCH_ERROR), "all"))
 
 
 def p2_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sketch for each stretch of start_ts, and what they give when put together."""
     start = F.col("start_ts") - F.pmod(F.col("start_ts"), F.lit(PERIOD_NS))
-    pieces = sketch(_durations(spark, sf_dir).withColumn("period", start), ["period"], F.col("took"))
-    each = _answers(percentiles(pieces, ["period"], QUANTILES), "period", "period")
-    return each.union(_answers(percentiles(merge(pieces, []), [], QUANTILES), "all"))
+    pieces = sketch(_durations(spark, sf_dir).withColumn("period", start), ["period"], F.col("took"), SKETCH_ERROR)
+    each = _answers(percentiles(pieces, ["period"], QUANTILES, SKETCH_ERROR), "period", "period")
+    return each.union(_answers(percentiles(merge(pieces, []), [], QUANTILES, SKETCH_ERROR), "all"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from causeway.scratch import Scratch
@@ -22,8 +22,9 @@ def collapse_runs(
     entities within ordered shards, whose first events get the last one of the shard before. A
     like event then points to its predecessor; in each round pointers are replaced by their
     targets' pointers, until all reach a run's start: as many self-joins as the logarithm of the
-    longest run. Only events in runs are joined, each row once on either side, so a run that holds
-    a third of all rows is no hot key.
+    longest run. Only events in runs are joined, and an event points to one; finished ones are left
+    alone. A run's events are then counted, combined before the shuffle, so a run that holds a third
+    of all rows is no hot key.
 
     Copies of an event (equal in all columns used) count once. Rows with a null entity, id or ts
     are left out. Events that aren't like a neighbour aren't in the result; their n would be 1. An
@@ -35,32 +36,33 @@ def collapse_runs(
     place = ["_ts", "_id"]
     cuts = shard_cuts(source, "entity", place, total, floor)
     this = F.struct("_ts", "_id", *names)
-    once = carry(source.distinct(), cuts, "entity", place, F.max(this), F.last("_sum"))
-    w = Window.partitionBy("entity", "_shard").orderBy("_ts", "_id")
+    seen = carry(source, cuts, "entity", place, F.max(this), F.last("_sum"))
+    w = Window.partitionBy("entity", "_shard").orderBy("_ts", "_id", *names)
+    # copies are neighbours, and in the same shard, so they need no shuffle of their own
+    once = seen.withColumn("_same", F.lag(this).over(w).eqNullSafe(this)).filter("not _same")
     seen = once.withColumn("_before", F.coalesce(F.lag(this).over(w), F.col("_carry")))
     like = F.col("_before").isNotNull()
     for n in names:
         like &= F.coalesce(F.col(n) == F.col(f"_before.{n}"), F.lit(False))
-    # done: the pointer is at a run's start
-    links = scratch.keep(seen.filter(like).select("entity", F.col("_id").alias("id"), "_ts", F.col("_before._id").alias("ptr"), F.col("_before._ts").alias("ptr_ts"), F.lit(1).cast("bigint").alias("hops")))
-    ids = links.select("entity", F.col("id").alias("ptr"))
-    starts = links.join(ids, ["entity", "ptr"], "left_anti").withColumn("done", F.lit(True))
-    links = scratch.keep(links.join(ids, ["entity", "ptr"], "left_semi").withColumn("done", F.lit(False)).unionByName(starts))
-    # the last event of a run is no event's predecessor in it
-    ends = links.select("entity", "id").join(links.select("entity", F.col("ptr").alias("id")), ["entity", "id"], "left_anti")
-    ends = scratch.keep(ends)
-    previous = None
+    seen = seen.withColumn("_like", like)
+    # done: the pointer is at a run's start; of a shard's first event, that shows in the first round
+    starts = F.coalesce(~F.lag("_like").over(w), F.lit(False))
+    seen = seen.withColumn("done", starts).filter("_like").select("entity", F.col("_id").alias("id"), F.col("_before._id").alias("ptr"), "_ts", F.col("_before._ts").alias("_from"), "done")
+
+    def count(df: DataFrame) -> tuple[DataFrame, int]:
+        observed = Observation()
+        return scratch.keep(df.observe(observed, F.expr("count_if(not done) AS open"))), observed.get["open"]
+
+    links, left = count(seen)
     for _ in range(MAX_ROUNDS):
-        if links.filter("not done").isEmpty():
+        if not left:
             break
-        target = links.select("entity", F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("ptr_ts").alias("_ptr_ts"), F.col("hops").alias("_hops"), F.col("done").alias("_done"))
-        moved = links.filter("not done").join(target, ["entity", "ptr"]).select(
-            "entity", "id", "_ts", F.col("_ptr").alias("ptr"), F.col("_ptr_ts").alias("ptr_ts"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_done").alias("done")
-        )
-        links = scratch.keep(links.filter("done").unionByName(moved))
-        if previous is not None:
-            scratch.drop(previous)
-        previous = links
-    return links.join(ends, ["entity", "id"], "left_semi").select(
-        "entity", F.col("ptr").alias("first_id"), F.col("id").alias("last_id"), (F.col("hops") + 1).alias("n"), (F.col("_ts") - F.col("ptr_ts")).alias("duration")
-    )
+        target = links.select("entity", F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("done").alias("_done"))
+        moved = links.filter("not done").join(target, ["entity", "ptr"], "left")
+        moved = moved.selectExpr("entity", "id", "coalesce(_ptr, ptr) AS ptr", "_ts", "_from", "coalesce(_done, true) AS done")
+        before = links
+        links, left = count(links.filter("done").unionByName(moved))
+        scratch.drop(before)
+    last = F.max(F.struct("_ts", "id"))
+    runs = links.groupBy("entity", F.col("ptr").alias("first_id")).agg(last.alias("_last"), F.count(F.lit(1)).alias("_n"), F.min("_from").alias("_from"))
+    return runs.select("entity", "first_id", F.col("_last.id").alias("last_id"), (F.col("_n") + 1).alias("n"), (F.col("_last._ts") - F.col("_from")).alias("duration"))
