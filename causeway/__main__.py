@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     if args.command == "diff" and len(args.logs) != 2:
         parser.error("diff takes two logs")
-    spark = SparkSession.builder.appName("causeway").getOrCreate()
+    spark = SparkSession.builder.appName("causeway").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     scratch = Scratch(spark)
     try:
         frames, code = report(args, load(spark, args.logs, args.mode, scratch), scratch)

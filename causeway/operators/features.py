@@ -77,15 +77,16 @@ def entity_features(
     own = entities.select(F.col(entity_id).alias("_entity")).dropna().distinct()
     parts = parts.union(own.select("_entity", F.lit(-2), F.lit(0).cast("bigint"), none, none))
 
+    # conditional aggregates by the type's number: one place per type, filled as rows come, whose
+    # cost follows the rows an entity has and not the number of types
+    slots = [-2, *([-1] if spans is not None else []), *range(len(types) + 1)]
+    states = parts.repartition("_entity").groupBy("_entity").pivot("_type", slots)
+    states = states.agg(F.sum("_n").alias("n"), F.max("_last").alias("last"), F.max("_time").alias("time"))
     # as text: some hundred columns are built far faster than through the column functions
-    wide = ["count(CASE WHEN _type = -2 THEN 1 END) AS _own"]
+    wide = [f"_entity AS `{entity_id}`"]
     for k, name in [*enumerate(types), (len(types), "other")]:
         column = name.replace("`", "``")
-        wide += [
-            f"coalesce(sum(CASE WHEN _type = {k} THEN _n END), 0) AS `n_{column}`",
-            f"max(CASE WHEN _type = {k} THEN _last END) AS `last_{column}`",
-        ]
+        wide += [f"coalesce(`{k}_n`, 0L) AS `n_{column}`", f"`{k}_last` AS `last_{column}`"]
     if spans is not None:
-        wide += ["coalesce(sum(CASE WHEN _type = -1 THEN _n END), 0) AS n_spans", "coalesce(sum(CASE WHEN _type = -1 THEN _time END), 0) AS span_time"]
-    grouped = parts.repartition("_entity").groupBy("_entity").agg(*map(F.expr, wide))
-    return grouped.filter("_own > 0").drop("_own").withColumnRenamed("_entity", entity_id)
+        wide += ["coalesce(`-1_n`, 0L) AS n_spans", "coalesce(`-1_time`, 0L) AS span_time"]
+    return states.filter("`-2_n` IS NOT NULL").selectExpr(*wide)

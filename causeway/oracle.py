@@ -85,8 +85,8 @@ SELECT grp AS table_name, ancestor, id AS node_id, distance FROM up""",
 }
 
 
-#: Where the fixed list of kinds is read, as the columns of problem 1 are named by it.
-CATALOG = "/root/testdata/sf0.01/op_catalog.parquet"
+#: Folder of test tables with the fixed list of kinds, by which the columns of problem 1 are named.
+SF_DIR = "/root/testdata/sf0.01"
 
 
 def _features(path: str) -> dict[str, str]:
@@ -103,5 +103,5 @@ SELECT w.*, coalesce(n_spans, 0) AS n_spans, coalesce(span_time, 0) AS span_time
     return {"p1_features": text}
 
 
-def sql() -> dict[str, str]:
-    return {**_features(CATALOG), **SQL}
+def sql(sf_dir: str = SF_DIR) -> dict[str, str]:
+    return {**_features(f"{sf_dir}/op_catalog.parquet"), **SQL}
