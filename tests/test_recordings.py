@@ -261,6 +261,64 @@ def test_predict(world):
     assert [r.path for r in cycles["three"]] == [[100, 200, 300]] and counts["sleep"].order_edges == 0
 
 
+def kept_rows(scratch):
+    """Rows of each table written below ``scratch``."""
+    import pyarrow.dataset as ds
+
+    return [ds.dataset(f"{scratch.root.removeprefix('file://')}/{k + 1}", format="parquet").count_rows() for k in range(scratch.count)]
+
+
+def brute_cycles(orders, most):
+    """All simple cycles of up to ``most`` locks, from their least one, in the order of their paths."""
+    found = []
+
+    def walk(path):
+        for b in sorted(orders.get(path[-1], ())):
+            if b == path[0]:
+                found.append(list(path))
+            elif b > path[0] and b not in path and len(path) < most:
+                walk([*path, b])
+
+    for root in sorted(orders):
+        walk([root])
+    return sorted(found)
+
+
+def test_cycles_of_dense_orders(spark):
+    n = 60
+    log = [R(1, 100 + k) for k in range(n)] + [S(1, k, f"t{k}") for k in range(n)] + [A(2, 100 + k, k) for k in range(n)]
+    log += [e for k in range(n) for e in poll(k, 10, 12, *[K(11, k, 100 + j) for j in range(n) if j != k])]
+    scratch = Scratch(spark)
+    rec = from_log(spark.createDataFrame([tuple({"run_id": "dense", "seq": k, **e}.get(f) for f in EVENTS.fieldNames()) for k, e in enumerate(log)], EVENTS))
+    cycles, _ = predict.predicted_cycles(rec, scratch.keep(folds.ends_of(rec)), scratch, max_cycles=8)
+    # of 2,996,020 cycles the first 64: two locks, then over a third in between, then over a fourth
+    want = sorted([[100, 101]] + [[100, 101, c] for c in range(102, 105)] + [[100, 101, c, d] for c in range(102, 105) for d in range(102, 160) if d != c])[:64]
+    assert sorted(r.path for r in cycles.collect()) == want
+    # no step writes the cycles down, of which the first lock has 198,535
+    assert max(kept_rows(scratch)) < 20_000
+
+
+def test_cycles_brute(spark, small_units):
+    rng, orders, scratch, cap = random.Random(3), {}, Scratch(spark), 5
+    tries, holds = [], []
+    for task in range(60):
+        run = f"r{task % 2}"
+        for _ in range(4):
+            first, held = rng.randrange(50), rng.randrange(14)
+            holds.append((run, task, held, first, first + rng.randrange(1, 24)))
+        tries += [(run, task, rng.randrange(60), lock) for lock in rng.sample(range(14), 3)]
+    for run, task, held, first, after in holds:
+        for r, t, v, lock in tries:
+            if (r, t) == (run, task) and first <= v < after and lock != held:
+                orders.setdefault(run, {}).setdefault(held, set()).add(lock)
+    tried = spark.createDataFrame(tries, "run_id string, task bigint, v bigint, resource bigint").distinct()
+    kept = spark.createDataFrame(holds, "run_id string, task bigint, held bigint, first bigint, after bigint")
+    got = sorted((r.run_id, r.path) for r in predict.simple_cycles(tried, kept, scratch, cap=cap).collect())
+    want = {run: brute_cycles(orders[run], 4) for run in ("r0", "r1")}
+    assert min(map(len, want.values())) > 2 * cap
+    assert got == [(run, path) for run in ("r0", "r1") for path in want[run][:cap]]
+
+
 def test_select_witnesses():
     two = [[(1, {5, 9}), (2, {5})], [(2, {6, 9}), (1, {6})]]
     assert predict.select_witnesses(two, {5, 6}) == ("valid", [1, 1])
