@@ -319,6 +319,15 @@ def test_cycles_brute(spark, small_units):
     assert got == [(run, path) for run in ("r0", "r1") for path in want[run][:cap]]
 
 
+def test_witnesses_of_orders(world):
+    rec, ends, scratch = world
+    tries, holds = predict.numbered(rec, ends, scratch)
+    every = {tuple(r) for r in predict.witnesses(tries, holds).collect()}
+    orders = scratch.keep(ends.sparkSession.createDataFrame([("abba", 100, 200), ("three", 200, 300), ("three", 300, 200)], "run_id string, held bigint, resource bigint"))
+    some = {tuple(r) for r in predict.witnesses(tries, holds, orders).collect()}
+    assert some == {r for r in every if r[:3] in {("abba", 100, 200), ("three", 200, 300)}} and len(some) == 2
+
+
 def test_select_witnesses():
     two = [[(1, {5, 9}), (2, {5})], [(2, {6, 9}), (1, {6})]]
     assert predict.select_witnesses(two, {5, 6}) == ("valid", [1, 1])
