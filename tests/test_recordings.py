@@ -319,6 +319,23 @@ def test_cycles_brute(spark, small_units):
     assert got == [(run, path) for run in ("r0", "r1") for path in want[run][:cap]]
 
 
+def test_order_edges_of_crowded_bins(spark, small_units):
+    rng = random.Random(5)
+    tries = [("r", k % 2, v, rng.randrange(9), ((v + 10, 0, "x"))) for k in range(2) for v in range(60)]
+    holds = [("r", rng.randrange(2), rng.randrange(9), a, a + rng.randrange(1, 30)) for a in range(0, 60, 3)]
+    want = {}
+    for r, t, v, lock, w in tries:
+        for _, task, held, first, after in holds:
+            if task == t and first <= v < after and held != lock:
+                want.setdefault((r, held, lock), {}).setdefault(t, []).append(w[0])
+    tried = spark.createDataFrame(tries, "run_id string, task bigint, v bigint, resource bigint, w struct<ts: bigint, turn: int, op: string>")
+    edges = predict.order_edges(tried, spark.createDataFrame(holds, "run_id string, task bigint, held bigint, first bigint, after bigint"))
+    assert sorted(tuple(r) for r in edges.collect()) == sorted((*k, len(x), min(min(ts) for ts in x.values())) for k, x in want.items())
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    # spread, combined by hash, and moved once only behind the join
+    assert "_salt" in plan and "SortAggregate" not in plan and plan.split("Join")[0].count("Exchange") == 1
+
+
 def test_witnesses_of_orders(world):
     rec, ends, scratch = world
     tries, holds = predict.numbered(rec, ends, scratch)
