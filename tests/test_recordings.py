@@ -298,6 +298,40 @@ def test_cycles_of_dense_orders(spark):
     assert max(kept_rows(scratch)) < 20_000
 
 
+def test_observed_looks_at_holders_only(spark):
+    # tasks 1 and 2 are in a deadlock; in "late" they are never spawned, and 3 waits for them; in "none" nobody does
+    late = [e for e in DL if e["ev"] != "task_spawn"]
+    runs = {"dl": DL, "late": [*late, S(20, 3, "tail"), *poll(3, 21, 23, K(22, 3, 100))], "none": late}
+    idle = [R(1, 8, "Sleep"), *[e for k in range(300) for e in (S(1, 1000 + k), *poll(1000 + k, 2, 4, K(3, 1000 + k, 8)))]]
+
+    def observed(runs):
+        rows = [{"run_id": run, "seq": k, **e} for run, log in runs.items() for k, e in enumerate(log)]
+        rec, scratch = from_log(spark.createDataFrame([tuple(r.get(f) for f in EVENTS.fieldNames()) for r in rows], EVENTS)), Scratch(spark)
+        cycles, _ = predict.predicted_cycles(rec, scratch.keep(folds.ends_of(rec)), scratch)
+        return {r.run_id: (r.path, r.observed) for r in cycles.collect()}, scratch
+
+    assert observed({"late": runs["late"], "none": runs["none"]})[0] == {"late": ([100, 200], True), "none": ([100, 200], False)}
+    got, scratch = observed({"dl": [*idle, *DL]})
+    # nothing is written of 300 tasks that hold no lock
+    assert got == {"dl": ([100, 200], True)} and max(kept_rows(scratch)) < 100
+
+
+def test_numbers_of_hot_tasks_and_copies(spark, request):
+    rng, log = random.Random(11), [R(1, 100 + k) for k in range(4)] + [R(1, 8, "Sleep")]
+    for ts in range(2, 90):
+        task, lock = rng.randrange(3), 100 + rng.randrange(4)
+        log.append(rng.choice([A(ts, lock, task), U(ts, lock), K(ts, task, lock), K(ts, task, lock), K(ts, task, 8)]))
+    rec, scratch = from_log(spark.createDataFrame([tuple({"run_id": "r", "seq": k, **e}.get(f) for f in EVENTS.fieldNames()) for k, e in enumerate(log)], EVENTS)), Scratch(spark)
+    ends = scratch.keep(folds.ends_of(rec))
+    plain = [sorted(map(tuple, df.collect())) for df in predict.numbered(rec, ends, scratch)]
+    request.getfixturevalue("small_ranges")
+    rec.copies = {name: rec.tables[name].unionByName(rec.tables[name]) for name in ("parks", "resource_state")}
+    tries, holds = predict.numbered(rec, ends, scratch)
+    assert [sorted(map(tuple, df.collect())) for df in (tries, holds)] == plain and len(plain[0]) > 20
+    # one row for each number and lock, none before the first hold
+    assert tries.groupBy("task", "v", "resource").count().filter("count > 1").isEmpty() and min(t[2] for t in plain[0]) == 1
+
+
 def test_cycles_brute(spark, small_units):
     rng, orders, scratch, cap = random.Random(3), {}, Scratch(spark), 5
     tries, holds = [], []
